@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from tideframe.llm import bpe, quality
+from tideframe.llm import bpe, quality, secrets, toxicity
 
 QUERIES = {
+    "op1_secret_scan": secrets.op1_secret_scan,
     "op7_quality_rules": quality.op7_quality_rules,
     "op9_byte_bpe": bpe.op9_byte_bpe,
+    "op10_toxicity": toxicity.op10_toxicity,
+}
+ORACLES = {
+    "op1_secret_scan": secrets.OP1_SQL,
+    "op7_quality_rules": quality.OP7_SQL,
 }
-ORACLES = {"op7_quality_rules": quality.OP7_SQL}
