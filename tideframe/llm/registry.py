@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from tideframe.llm import bpe, quality, secrets, toxicity
+from tideframe.llm import bpe, neardup, quality, secrets, toxicity
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
+    "op6_minhash": neardup.op6_minhash,
     "op7_quality_rules": quality.op7_quality_rules,
     "op9_byte_bpe": bpe.op9_byte_bpe,
     "op10_toxicity": toxicity.op10_toxicity,
 }
 ORACLES = {
     "op1_secret_scan": secrets.OP1_SQL,
+    "op6_minhash": neardup.OP6_SQL,
     "op7_quality_rules": quality.OP7_SQL,
 }
