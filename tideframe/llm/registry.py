@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tideframe.llm import bpe, mixing, neardup, quality, secrets, toxicity
+from tideframe.llm import bpe, mixing, neardup, quality, secrets, tokenfiles, toxicity
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
+    "op2_token_files": tokenfiles.op2_token_files,
     "op5_mixing": mixing.op5_mixing,
     "op6_minhash": neardup.op6_minhash,
     "op7_quality_rules": quality.op7_quality_rules,
