@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tideframe.llm import bpe, mixing, neardup, quality, secrets, tokenfiles, toxicity
+from tideframe.llm import bpe, embeddings, mixing, neardup, quality, secrets, tokenfiles, toxicity
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_mixing": mixing.op5_mixing,
     "op6_minhash": neardup.op6_minhash,
     "op7_quality_rules": quality.op7_quality_rules,
+    "op8_embeddings": embeddings.op8_embeddings,
     "op9_byte_bpe": bpe.op9_byte_bpe,
     "op10_toxicity": toxicity.op10_toxicity,
 }
@@ -17,4 +18,5 @@ ORACLES = {
     "op1_secret_scan": secrets.OP1_SQL,
     "op6_minhash": neardup.OP6_SQL,
     "op7_quality_rules": quality.OP7_SQL,
+    "op8_embeddings": embeddings.OP8_SQL,
 }
