@@ -48,3 +48,11 @@ def settle(df: DataFrame, name: str) -> DataFrame:
 
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df as a reliable checkpoint in the shared folder: unlike a table, it keeps partitions and the order in them."""
+    sc = df.sparkSession.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        sc.setCheckpointDir(shared_dir(df.sparkSession))
+    return df.checkpoint()
