@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tideframe.llm import bpe, chat, embeddings, mixing, neardup, quality, secrets, tokenfiles, toxicity
+from tideframe.llm import bpe, chat, embeddings, mixing, neardup, quality, secrets, substrings, tokenfiles, toxicity
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
     "op2_token_files": tokenfiles.op2_token_files,
     "op3_chat_repair": chat.op3_chat_repair,
+    "op4_substring_dedup": substrings.op4_substring_dedup,
     "op5_mixing": mixing.op5_mixing,
     "op6_minhash": neardup.op6_minhash,
     "op7_quality_rules": quality.op7_quality_rules,
