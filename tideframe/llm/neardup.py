@@ -6,11 +6,13 @@ locality-sensitive: equal with a probability close to the sets' Jaccard similari
 pairs that meet in a bucket are kept if their similarity, estimated jointly from all registers by likelihood, may reach
 the threshold, and are then confirmed on the full sets.
 
-Documents with the same set are one class, so exact copies cost one row each. A bucket's members are not expanded into
-pairs: each round compares every bucket's members with one hub, joins what is linked into components, and goes on with
-the buckets that still hold several components and a hub not tried before. After ROUNDS such rounds the members outside
-a bucket's main component are compared with all its members of other components, so that no link that matters to a
-component is left out. With 24 bands of 3 registers a pair at similarity 0.75 meets with a probability of 0.999998.
+Documents with the same set are one class, so exact copies cost one row. A bucket's members are not expanded into
+pairs: each is compared with one hub, and what is linked joins into components. Buckets that then still hold several
+components (mostly documents that share a passage, far below the threshold) are completed exactly: over the documents
+in them, shingles are ordered from rare to common, and two sets of the wanted similarity must share a shingle among the
+first quarter of theirs (prefix filter of Chaudhuri, Ganti, Kaushik 2006), where a passage of many documents is not.
+Only members of different components meet there, those of a shingle's main component on one side alone.
+With 24 bands of 3 registers a pair at similarity 0.75 meets in a bucket with a probability of 0.999998.
 
 Defined results: null or empty text has an empty set, linked with nothing; a null key is linked with nothing and has a
 null component_id; rows with the same key are one document that holds each of their texts; repeated rows get a row each;
@@ -24,7 +26,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tideframe.llm import common, shingles
@@ -37,7 +39,6 @@ BASE, RATE, Q = 1.001, 20.0, (1 << 16) - 2
 PERCENT = 75
 #: A pair is dropped unverified only if its likelihood at the threshold is below the best by this many nats.
 NATS = 14.0
-ROUNDS = 4
 #: Keys that may be broadcast to pick rows out of the documents; beyond it a shuffle join does the same.
 BROADCAST_KEYS = 500_000
 
@@ -79,27 +80,32 @@ def may_link(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, perce
     return (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)) & (np.maximum(log_likelihood(at, more, less, u), np.where(grid * top >= at, best, -np.inf).max(0)) >= above - NATS)
 
 
+def slices(batches, rows: int):
+    """The batches in parts of at most rows rows."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 def sketches(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_shingles, sig, sketch) of every row; sig names the set, and both it and the sketch are null for an empty set."""
     common.with_workers(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches):
-        for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
-                sets = [shingles.shingle_set(t) for t in part.column(1).to_pylist()]
-                full = [s for s in sets if len(s)]
-                rows = iter(sketch(np.concatenate(full), np.cumsum([0, *[len(s) for s in full[:-1]]])) if full else ())
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column(0),
-                        pa.array([len(s) for s in sets], pa.int64()),
-                        pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
-                        pa.array([next(rows).astype(">u2").tobytes() if len(s) else None for s in sets], pa.binary()),
-                    ],
-                    names=["key", "n_shingles", "sig", "sketch"],
-                )
+        for part in slices(batches, 256):
+            sets = [shingles.shingle_set(t) for t in part.column(1).to_pylist()]
+            full = [s for s in sets if len(s)]
+            rows = iter(sketch(np.concatenate(full), np.cumsum([0, *[len(s) for s in full[:-1]]])) if full else ())
+            yield pa.RecordBatch.from_arrays(
+                [
+                    part.column(0),
+                    pa.array([len(s) for s in sets], pa.int64()),
+                    pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
+                    pa.array([next(rows).astype(">u2").tobytes() if len(s) else None for s in sets], pa.binary()),
+                ],
+                names=["key", "n_shingles", "sig", "sketch"],
+            )
 
     own = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
     return own.mapInArrow(run, f"key {kind}, n_shingles long, sig binary, sketch binary")
@@ -110,11 +116,10 @@ def _estimated(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     side = lambda c: classes.select(F.col("rep").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
 
     def run(batches):
-        for batch in batches:
-            if batch.num_rows:
-                regs = [np.frombuffer(b"".join(batch.column(c).to_pylist()), ">u2").reshape(-1, REGISTERS) for c in ("sa", "sb")]
-                sizes = [batch.column(c).to_numpy().astype(np.float64) for c in ("na", "nb")]
-                yield batch.select(["a", "b"]).filter(pa.array(may_link(*regs, *sizes, percent)))
+        for part in slices(batches, 1024):
+            regs = [np.frombuffer(b"".join(part.column(c).to_pylist()), ">u2").reshape(-1, REGISTERS) for c in ("sa", "sb")]
+            sizes = [part.column(c).to_numpy().astype(np.float64) for c in ("na", "nb")]
+            yield part.select(["a", "b"]).filter(pa.array(may_link(*regs, *sizes, percent)))
 
     kind = classes.schema["rep"].dataType.simpleString()
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, f"a {kind}, b {kind}")
@@ -122,15 +127,13 @@ def _estimated(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 
 def _verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """Of pairs (a, b) of keys of docs (key, text), those whose full sets are similar enough."""
-    keys = common.settle(pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct(), "keys")
-    few = keys.count() <= BROADCAST_KEYS
-    texts = common.settle(docs.join(F.broadcast(keys) if few else keys, "key", "left_semi"), "texts")
+    texts = _texts(docs, pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct())
     kind = docs.schema["key"].dataType.simpleString()
 
     def run(batches):
         last, first = None, None
-        for batch in batches:
-            a, b, ta, tb = (batch.column(c).to_pylist() for c in ("a", "b", "ta", "tb"))
+        for part in slices(batches, 256):
+            a, ta, tb = (part.column(c).to_pylist() for c in ("a", "ta", "tb"))
             keep = []
             for x, y, z in zip(a, ta, tb, strict=True):
                 if (x, y) != last:
@@ -140,15 +143,58 @@ def _verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
                 both.sort()
                 common_n = int((both[1:] == both[:-1]).sum())
                 keep.append(100 * common_n >= percent * (len(both) - common_n))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     at_b = pairs.join(texts.select(F.col("key").alias("b"), F.col("text").alias("tb")), "b")
     rows = at_b.join(texts.select(F.col("key").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb")
     return rows.mapInArrow(run, f"a {kind}, b {kind}")
 
 
-def links_to_components(docs: DataFrame, sketched: DataFrame, percent: int = PERCENT, rounds: int = ROUNDS) -> DataFrame:
-    """(rep, sig, component) of every class of documents with the same set; docs has the columns key and text."""
+def _texts(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows of docs (key, text) with one of keys; keys go to every worker only if they are few."""
+    keys = common.settle(keys, "keys")
+    few = keys.count() <= BROADCAST_KEYS
+    return common.settle(docs.join(F.broadcast(keys) if few else keys, "key", "left_semi"), "texts")
+
+
+def _prefix_pairs(docs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of members (rep, n, component) of different components whose sets may be similar enough: no such pair is left out."""
+    common.with_workers(docs.sparkSession)
+    kind = docs.schema["key"].dataType.simpleString()
+
+    def run(batches):
+        for part in slices(batches, 256):
+            sets = [shingles.shingle_set(t) for t in part.column(1).to_pylist()]
+            tokens = np.concatenate([np.empty(0, np.uint64), *sets]).view(np.int64)
+            rows = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+            names = np.array([xxhash.xxh3_64_intdigest(x.tobytes()) for x in sets], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(rows)), pa.array(names[rows]), pa.array(tokens)], names=["rep", "set", "token"])
+
+    texts = _texts(docs, members.select(F.col("rep").alias("key")))
+    tokens = common.settle(texts.select("key", "text").mapInArrow(run, f"rep {kind}, set long, token long").distinct(), "tokens")  # a key may have several sets
+    often = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+    shared = common.settle(tokens.join(often, "token"), "shared-tokens")
+    # a set's prefix: its size less the least overlap of a link, plus one; tokens of no other document come first
+    size = tokens.groupBy("rep", "set").agg(F.count("*").alias("n"))
+    room = size.join(shared.groupBy("rep", "set").agg(F.count("*").alias("held")), ["rep", "set"]).withColumn("alone", F.col("n") - F.col("held"))
+    room = room.withColumn("prefix", F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).where("prefix > alone").select("rep", "set", "n", "alone", "prefix")
+    rank = F.row_number().over(Window.partitionBy("rep", "set").orderBy("df", "token"))
+    prefix = shared.join(room, ["rep", "set"]).withColumn("rank", F.col("alone") + rank).where("rank <= prefix").select("token", "rep", "n", "rank")
+    prefix = common.settle(prefix.join(members.select("rep", "component"), "rep"), "prefixes")
+    counts = prefix.groupBy("token", "component").agg(F.count("*").alias("c"))
+    main = counts.groupBy("token").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.count("*").alias("components")).where("components > 1").select("token", "main")
+    open_ = prefix.join(main, "token")
+    one = open_.where("component != main").select("token", F.col("rep").alias("x"), F.col("component").alias("cx"), F.col("n").alias("nx"), F.col("rank").alias("rx"))
+    other = open_.select("token", "main", F.col("rep").alias("y"), F.col("component").alias("cy"), F.col("n").alias("ny"), F.col("rank").alias("ry"))
+    # a link of sizes nx and ny has this overlap at least, so its first common token leaves room for it on both sides
+    overlap = F.ceil((F.col("nx") + F.col("ny")) * percent / (100 + percent))
+    fits = (F.col("cx") != F.col("cy")) & (F.col("rx") <= F.col("nx") - overlap + 1) & (F.col("ry") <= F.col("ny") - overlap + 1)
+    once = (F.col("cy") == F.col("main")) | (F.col("x") < F.col("y"))  # a pair of two minor members meets twice
+    return one.join(other, "token").where(fits & once).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def links_to_components(docs: DataFrame, sketched: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(sig, component) of every class of documents with the same set; docs has the columns key and text."""
     full = sketched.where("sig is not null and key is not null")
     classes = full.groupBy("sig").agg(F.min("key").alias("rep"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
     classes = common.settle(classes, "classes")
@@ -157,31 +203,21 @@ def links_to_components(docs: DataFrame, sketched: DataFrame, percent: int = PER
     several = full.join(several, "key", "left_semi").select("key", "sig").join(classes, "sig").select(F.col("key").alias("a"), F.col("rep").alias("b"))
     step = 2 * ROWS
     cells = F.explode(F.array(*[F.xxhash64(F.lit(i), F.substring("sketch", 1 + i * step, step)) for i in range(BANDS)]))
-    rows = classes.select(cells.alias("cell"), "rep")
+    rows = classes.select(cells.alias("cell"), "rep", "n")
     crowded = rows.groupBy("cell").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo != hi").select("cell", F.col("lo").alias("hub"))
-    members = common.settle(rows.join(crowded, "cell").select("cell", "rep", "hub"), "buckets")
+    members = common.settle(rows.join(crowded, "cell").select("cell", "rep", "n", "hub"), "buckets")
     pairs = members.where("rep != hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
-    links, found = common.settle(several, "links"), None
-    for turn in range(rounds + 2):
-        pairs = common.settle(_estimated(pairs, classes, percent), "pairs")
-        links = common.settle(links.union(_verified(pairs, docs, percent)), "links")
-        found = common.settle(components(links), "components")
-        if turn > rounds:
-            break
-        # buckets that still hold several components, each member with its own
-        own = members.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        mixed = own.groupBy("cell").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("cell")
-        own = common.settle(own.join(mixed, "cell", "left_semi"), "open-buckets")
-        if own.isEmpty():
-            break
-        main = own.where("rep = hub").select("cell", F.col("component").alias("main"))
-        outside = own.join(main, "cell").where("component != main").select("cell", "rep", "component")
-        if turn < rounds:  # the next hub of each bucket, from outside its main component
-            nth = outside.groupBy("cell").agg(F.min_by(F.struct("rep", "component"), F.xxhash64(F.lit(turn), "rep")).alias("h"))
-            outside = nth.select("cell", "h.rep", "h.component")
-        one = outside.select("cell", F.col("rep").alias("x"), F.col("component").alias("cx"))
-        other = own.select("cell", F.col("rep").alias("y"), F.col("component").alias("cy"))
-        pairs = one.join(other, "cell").where("cx != cy").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    pairs = common.settle(_estimated(pairs, classes, percent), "pairs")
+    links = common.settle(several.union(_verified(pairs, docs, percent)), "links")
+    found = components(links)
+    # buckets that still hold several components, completed exactly
+    own = members.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    own = common.settle(own, "buckets")
+    mixed = own.groupBy("cell").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("cell")
+    own = common.settle(own.join(mixed, "cell", "left_semi").groupBy("rep").agg(F.first("n").alias("n"), F.first("component").alias("component")), "open-members")
+    if not own.isEmpty():
+        pairs = common.settle(_estimated(_prefix_pairs(docs, own, percent), classes, percent), "pairs")
+        found = components(links.union(_verified(pairs, docs, percent)))
     return classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("sig", F.coalesce("component", "rep").alias("component"))
 
 

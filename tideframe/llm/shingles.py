@@ -6,7 +6,8 @@ import numpy as np
 import xxhash
 
 WIDTH = 5
-CACHE_ENTRIES = 1 << 20
+#: Words whose hashes a worker keeps before it starts anew: frequent words matter, and a hash is cheap to make again.
+CACHE_ENTRIES = 1 << 17
 _M1, _M2, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
 
