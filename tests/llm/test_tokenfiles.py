@@ -36,7 +36,7 @@ def test_file_round_trip_over_segments():
 def test_word_by_word_equals_whole_texts():
     tok = Tokenizer.from_file(tf.TOKENIZER)
     rng = random.Random(3)
-    pool = list("abcXYZ019 \t\n\r\x0b\x0c'.,!?-_<|>") + ["é", "É", "́", "Σ", "ς", "ß", "İ", "漢", "\U0001f600", "\xa0", " ", "\x1c", "\x85", "ﬁ", "'s", "'LL", " <|endoftext|> ", "‍", "가"]
+    pool = list("abcXYZ019 \t\n\r\x0b\x0c'.,!?-_<|>") + ["é", "É", "́", "Σ", "ς", "ß", "İ", "漢", "\U0001f600", "\xa0", " ", "\x1c", "\x85", "ﬁ", "'s", "'LL", " <|endoftext|> ", "‍", "가", "\x01", "\x01 "]
     own = tf.WordEncoder(tf.TOKENIZER)
     for _ in range(3000):
         text = "".join(rng.choices(pool, k=rng.randrange(0, 30)))

@@ -56,3 +56,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
+
+
+#: Rows of keys or findings that may be sent to every worker.
+SMALL_ROWS = 500_000
+
+
+def small_or_not(settled: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
+    """settled, marked for a broadcast join only if it is counted to have few rows; else joins shuffle it."""
+    return F.broadcast(settled) if settled.count() <= rows else settled

@@ -47,6 +47,8 @@ RULES = (
     Rule("code_host", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("web_token", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
 )
+#: Blobs with findings that redact() sends to every worker at most.
+FEW_FINDINGS = 100_000
 SPANS = "array<struct<start:int,kind:int,end:int>>"
 
 
@@ -114,7 +116,7 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text")
     """docs with the secrets of each text replaced and n_chars, where there is one, counted anew; no row is dropped."""
     own = docs.withColumn("__blob", F.sha2(common.text_or_empty(text), 256))
     found = scan(docs, None, rules, docs.columns[0], text).where(F.size("spans") > 0).select(F.col("blob").alias("__blob"), F.array_sort("spans").alias("__spans"))
-    out = own.join(found, "__blob", "left").withColumn(text, F.when(F.col("__spans").isNull(), F.col(text)).otherwise(redacted(common.text_or_empty(text), F.col("__spans"))))
+    out = own.join(common.small_or_not(found, FEW_FINDINGS), "__blob", "left").withColumn(text, F.when(F.col("__spans").isNull(), F.col(text)).otherwise(redacted(common.text_or_empty(text), F.col("__spans"))))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("__spans").isNull(), F.col("n_chars")).otherwise(F.length(text)).cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)

@@ -23,6 +23,7 @@ an empty table gives no files and an empty result; only the key and text columns
 from __future__ import annotations
 
 import json
+import re
 import struct
 import uuid
 import zlib
@@ -43,8 +44,9 @@ WIDTHS = (8, 8, 16)
 SEGMENT = 1 << 22
 BLOCK = 512
 MAGIC = b"DACIDS01"
-#: Entries that a worker's cache of words holds before it starts anew, and the longest word it keeps.
-CACHE_ENTRIES, CACHE_BYTES = 1 << 19, 64
+#: Words that a generation of a worker's cache holds, and the longest word it keeps.
+CACHE_ENTRIES, CACHE_BYTES = 600_000, 64
+MARK = "\x01"
 
 
 def encode_levels(ids: np.ndarray, widths: tuple[int, ...] = WIDTHS) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -182,28 +184,65 @@ class Reader:
         return self.slice(int(self.docs[d]), int(self.docs[d + 1]))
 
 
+#: A comma or full stop that ends a word of ASCII: a token of its own, so that the word is the same with and without.
+_STOP = re.compile(rb"([A-Za-z0-9])([.,])(?=[ \n])").sub
+
+
+def pieces(text: str) -> list[bytes]:
+    """Parts of a text between ASCII spaces, A-Z lower-cased as the tokenizer does. Texts with the first sign of a special
+    token, or with a combining mark that could join a letter (bytes CC and CD begin those), are only split at spaces."""
+    data = text.encode()
+    if b"<|" in data or b"\xcc" in data or b"\xcd" in data:
+        return data.split()
+    return _STOP(rb"\1 \2", data.lower()).split()
+
+
 class WordEncoder:
     """Ids of the tokenizers library's file, word by word: it drops white space and no token spans it, so the ids of a
-    text are those of its pieces between ASCII spaces. Pieces recur, so their ids are kept in a bounded cache."""
+    text are those of its pieces between ASCII spaces. Pieces recur, so their ids are kept in a cache of two generations,
+    each bounded. New pieces are encoded many at a time, with a control character between them that marks their ends."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.cache = Tokenizer.from_file(path), {}
+        self.tokenizer, self.young, self.old = Tokenizer.from_file(path), {}, {}
+        mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
+        self.mark = mark[0] if len(mark) == 1 else None
+
+    def _learn(self, words: list[bytes]) -> dict[bytes, bytes]:
+        plain = [w for w in words if self.mark is not None and MARK.encode() not in w]
+        parts = [plain[i : i + 256] for i in range(0, len(plain), 256)]
+        joined = self.tokenizer.encode_batch_fast([f" {MARK} ".join([w.decode() for w in part]) for part in parts], add_special_tokens=False)
+        found = {}
+        for part, e in zip(parts, joined, strict=True):
+            ids = np.array(e.ids, np.uint32)
+            ends = np.append(np.flatnonzero(ids == self.mark), len(ids)).tolist()
+            if len(ends) != len(part):
+                raise ValueError("the tokenizer does not keep the mark between words apart")
+            packed, start = ids.tobytes(), 0
+            for w, end in zip(part, ends, strict=True):
+                found[w] = packed[4 * start : 4 * end]
+                start = end + 1
+        rest = [w for w in words if w not in found]
+        single = self.tokenizer.encode_batch_fast([w.decode() for w in rest], add_special_tokens=False)
+        return found | {w: np.array(e.ids, np.uint32).tobytes() for w, e in zip(rest, single, strict=True)}
+
+    def encode_texts(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text as unsigned 32-bit integers."""
+        young, old = self.young, self.old
+        words = [pieces(t or "") for t in texts]
+        new = [w for w in set().union(*words) if w not in young]
+        young |= {w: old[w] for w in new if w in old}
+        young |= (learnt := self._learn([w for w in new if w not in old]))
+        out = [b"".join(map(young.__getitem__, ws)) for ws in words]
+        for w in [w for w in learnt if len(w) > CACHE_BYTES]:
+            del self.young[w]
+        if len(self.young) >= CACHE_ENTRIES:
+            self.young, self.old = {}, self.young
+        return out
 
     def encode(self, text: str | None) -> bytes:
-        words = (text or "").encode().split()
-        cache = self.cache
-        try:
-            return b"".join([cache[w] for w in words])
-        except KeyError:
-            pass
-        if len(cache) >= CACHE_ENTRIES:
-            cache.clear()
-        new = list({w for w in words if w not in cache})
-        found = {w: np.array(e.ids, np.uint32).tobytes() for w, e in zip(new, self.tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False), strict=True)}
-        cache |= {w: ids for w, ids in found.items() if len(w) <= CACHE_BYTES}
-        return b"".join([found[w] if w in found else cache[w] for w in words])
+        return self.encode_texts([text])[0]
 
 
 @lru_cache(2)
@@ -219,8 +258,10 @@ def write(docs: DataFrame, folder: str, tokenizer: str = TOKENIZER, end: int | N
     def run(batches):
         own, out = encoder(tokenizer), Writer()
         for batch in batches:
-            for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                out.add(k, np.frombuffer(own.encode(t) + tail, np.uint32))
+            for start in range(0, batch.num_rows, 256):
+                part = batch.slice(start, 256)
+                for k, ids in zip(part.column(0).to_pylist(), own.encode_texts(part.column(1).to_pylist()), strict=True):
+                    out.add(k, np.frombuffer(ids + tail, np.uint32))
         if not out.n_docs:
             return
         shard = TaskContext.get().partitionId()
@@ -260,7 +301,7 @@ def read(manifest: DataFrame, folder: str, key: str = "doc_id") -> DataFrame:
                         names=["key", "start", "ids"],
                     )
 
-    spread = manifest.select("file", "before").repartition(F.col("file"))
+    spread = manifest.select("file", "before").repartition(max(1, manifest.count()), "file")
     return spread.mapInArrow(run, "key long, start long, ids binary").withColumnRenamed("key", key)
 
 
