@@ -119,7 +119,7 @@ _pair("ts_regx_resid_mean", lambda f, a, b: f.agg(F.avg(a)) - f.agg(F.regr_inter
 
 def _resid_var(f: Scope, a: Column, b: Column) -> Column:
     rest = f.agg(F.regr_syy(a, b)) - f.agg(F.regr_slope(a, b)) * f.agg(F.regr_sxy(a, b))
-    return F.try_divide(F.greatest(rest, F.lit(0.0)), f.agg(F.count(a)).cast("double") - 1)
+    return F.when(rest.isNotNull(), F.try_divide(F.greatest(rest, F.lit(0.0)), f.agg(F.count(a)).cast("double") - 1))
 
 
 _pair("ts_regx_resid_std", lambda f, a, b: F.sqrt(_resid_var(f, a, b)))
