@@ -13,7 +13,7 @@ from tideframe.functions import distributions as dist
 from tideframe.functions.durations import duration
 from tideframe.operators import equity, joins, linalg
 from tideframe.operators.frame import TideFrame, distributed_rank
-from tideframe.plans.expr import col, lit, register, timedelta, where
+from tideframe.plans.expr import Expr, col, lit, register, timedelta, where
 from tideframe.sources import io
 from tideframe.streaming import buckets
 
@@ -228,6 +228,14 @@ def test_selection_and_errors(spark):
     assert "ts_mean" in repr(col("a").ts_mean(3)) and col("a").ts_cov(col("b"), 3).columns() == {"a", "b"}
 
 
+def test_setting_places_and_results(spark):
+    f = io.frame(spark, {"x": [1.0, 2, 3, 4]})
+    out = f.with_columns(a=col("x").set_at(-1, 9.0), b=col("x").put_packed(col("x") > 2, Expr("column", (F.array(F.lit(7.0), F.lit(8.0)),))), c=col("x").norm_cdf(1.0, 2.0))
+    d = out.to_dict()
+    assert d["a"] == [1, 2, 3, 9] and d["b"] == [1, 2, 7, 8] and d["c"][0] == 0.5
+    assert out.eval().to_pandas().shape == (4, 5)
+
+
 def test_ipc_round_trip(spark, tmp_path):
     f = io.frame(spark, {"a": [1.5, nan, 2.5], "b": ["x", None, "z"], "ts": TS[:3]})
     io.write_ipc(f.df, str(tmp_path / "f.arrow"))

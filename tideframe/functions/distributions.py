@@ -9,6 +9,18 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tideframe.functions.registry import op
+
+
+def on_column(name: str):
+    """Register a function of a column as an operation that needs nothing of its scope."""
+
+    def put(fn):
+        op(name)(lambda scope, x, *args, **kw: fn(x, *args, **kw))
+        return fn
+
+    return put
+
 
 def norm_cdf_value(x: float, mean: float = 0.0, std: float = 1.0) -> float:
     return 0.5 * math.erfc(-(x - mean) / (std * math.sqrt(2)))
@@ -49,6 +61,8 @@ def f_cdf_value(x: float, df1: float, df2: float) -> float:
 
 
 def _vector(fn):
+    """fn of a number as an Arrow-batched function of a column; NULL stays NULL."""
+
     @F.pandas_udf("double")
     def run(x: pd.Series) -> pd.Series:
         return x.map(fn, na_action="ignore").astype("float64")
@@ -56,13 +70,16 @@ def _vector(fn):
     return run
 
 
+@on_column("norm_cdf")
 def norm_cdf(x: Column, mean: float = 0.0, std: float = 1.0) -> Column:
     return _vector(lambda v: norm_cdf_value(v, mean, std))(x.cast("double"))
 
 
+@on_column("t_cdf")
 def t_cdf(x: Column, df: float, loc: float = 0.0, scale: float = 1.0) -> Column:
     return _vector(lambda v: t_cdf_value(v, df, loc, scale))(x.cast("double"))
 
 
+@on_column("f_cdf")
 def f_cdf(x: Column, df1: float, df2: float) -> Column:
     return _vector(lambda v: f_cdf_value(v, df1, df2))(x.cast("double"))

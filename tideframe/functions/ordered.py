@@ -101,3 +101,19 @@ def argsort(s: Scope, x: Column, rev: bool = False) -> Column:
     """Place in the sorted order, missing values last; ties keep the order of rows."""
     s.need_order()
     return (F.row_number().over(s.by(x.desc_nulls_last() if rev else x.asc_nulls_last(), *[F.col(o) if isinstance(o, str) else o for o in s.order])) - 1).cast("long")
+
+
+@op("set_at")
+def set_at(s: Scope, x: Column, place: int, value) -> Column:
+    """x with the value at one place of the partition (from the end if negative) replaced."""
+    at = F.row_number().over(s.ordered) - 1
+    wanted = F.lit(place) if place >= 0 else F.count(F.lit(1)).over(s.whole) + place
+    return F.when(at == wanted, F.lit(value) if not isinstance(value, Column) else value).otherwise(x)
+
+
+@op("put_packed")
+def put_packed(s: Scope, x: Column, mask: Column, packed: Column) -> Column:
+    """x with the k-th place where mask holds replaced by the k-th element of the array packed."""
+    held = F.coalesce(mask, F.lit(False))
+    k = F.sum(held.cast("int")).over(s.upto)
+    return F.when(held, F.get(packed, (k - 1).cast("int"))).otherwise(x)

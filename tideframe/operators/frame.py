@@ -66,6 +66,21 @@ class TideFrame:
             raise KeyError(key)
         return [key]
 
+    # results
+    def to_pandas(self):
+        """All rows in order, on the driver."""
+        return (self.df.orderBy(*self.order) if self.order else self.df).toPandas()
+
+    def to_arrow(self):
+        return (self.df.orderBy(*self.order) if self.order else self.df).toArrow()
+
+    def to_dict(self) -> dict[str, list]:
+        return self.to_arrow().to_pydict()
+
+    def eval(self) -> TideFrame:
+        """Computed once and kept by the executors for what follows."""
+        return self._with(self.df.cache())
+
     # projection and shape
     def select(self, *exprs, **named) -> TideFrame:
         return self._with(self.df.select(*[c.alias(n) for n, c in self._lower(exprs, named).items()]))

@@ -11,6 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 import tideframe.functions.aggregates
+import tideframe.functions.distributions
 import tideframe.functions.ordered
 import tideframe.functions.rolling
 import tideframe.functions.scalar  # noqa: F401
