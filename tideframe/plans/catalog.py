@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from functools import wraps
+
+from tideframe.functions.workers import with_workers
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
@@ -10,7 +14,12 @@ def register(name: str, sql: str | None = None):
     """Decorator: file a (spark, sf_dir) -> DataFrame query under its name, with its oracle SQL."""
 
     def put(fn):
-        QUERIES[name] = fn
+        @wraps(fn)
+        def run(spark, sf_dir):
+            with_workers(spark)
+            return fn(spark, sf_dir)
+
+        QUERIES[name] = run
         if sql is not None:
             ORACLES[name] = sql
         return fn
