@@ -32,6 +32,7 @@ from functools import lru_cache
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -46,7 +47,6 @@ BLOCK = 512
 MAGIC = b"DACIDS01"
 #: Words that a generation of a worker's cache holds, and the longest word it keeps.
 CACHE_ENTRIES, CACHE_BYTES = 600_000, 64
-MARK = "\x01"
 
 
 def encode_levels(ids: np.ndarray, widths: tuple[int, ...] = WIDTHS) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -186,62 +186,96 @@ class Reader:
 
 #: A comma or full stop that ends a word of ASCII: a token of its own, so that the word is the same with and without.
 _STOP = re.compile(rb"([A-Za-z0-9])([.,])(?=[ \n])").sub
+#: Bytes of ASCII and of U+00C0 to U+00FF, which are letters but for two signs.
+_LATIN = bytes([*range(0x80), 0xC3, *range(0x80, 0xC0)])
+#: Bytes by kind: space, comma or full stop, other ASCII sign, or part of a word.
+_KINDS = bytes(0x20 if b in b" \t\n\x0b\x0c\r" else 0x2E if b in b".," else 0x61 if b >= 0x80 or chr(b).isalnum() else 0x21 for b in range(256))
 
 
-def pieces(text: str) -> list[bytes]:
-    """Parts of a text between ASCII spaces, A-Z lower-cased as the tokenizer does. Texts with the first sign of a special
-    token, or with a combining mark that could join a letter (bytes CC and CD begin those), are only split at spaces."""
+def prepared(text: str) -> bytes:
+    """A text whose parts between ASCII spaces have the ids of the whole: A-Z lower-cased as the tokenizer does, stops
+    that end a word apart from it.
+
+    Texts with the first sign of a special token, or with a combining mark that could join a letter (bytes CC and CD
+    begin those), stay as they are. Where signs can only follow letters, stops are cut off by plain replacement.
+    """
     data = text.encode()
     if b"<|" in data or b"\xcc" in data or b"\xcd" in data:
-        return data.split()
-    return _STOP(rb"\1 \2", data.lower()).split()
+        return data
+    data = data.lower()
+    kinds = data.translate(_KINDS)
+    if b"!. " in kinds or b".. " in kinds or data.translate(None, _LATIN) or b"\xc3\x97" in data or b"\xc3\xb7" in data:
+        return _STOP(rb"\1 \2", data)
+    return data.replace(b". ", b" . ").replace(b", ", b" , ").replace(b".\n", b" .\n").replace(b",\n", b" ,\n")
+
+
+#: Words of a-z and the lower-case letters U+00DF to U+00FF, which no normalisation changes and no pattern splits.
+_PLAIN = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+").fullmatch
 
 
 class WordEncoder:
     """Ids of the tokenizers library's file, word by word: it drops white space and no token spans it, so the ids of a
     text are those of its pieces between ASCII spaces. Pieces recur, so their ids are kept in a cache of two generations,
-    each bounded. New pieces are encoded many at a time, with a control character between them that marks their ends."""
+    each bounded. New plain words are encoded many at a time by the same model without its normaliser and pattern, which
+    leave them as they are; the token that ends a word has the model's suffix. Other new pieces are encoded one by one."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer, self.young, self.old = Tokenizer.from_file(path), {}, {}
-        mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
-        self.mark = mark[0] if len(mark) == 1 else None
+        self.suffix, self.bare = getattr(self.tokenizer.model, "end_of_word_suffix", None), None
+        if self.suffix:
+            self.bare = Tokenizer.from_file(path)
+            self.bare.normalizer = normalizers.Sequence([])
+            self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+            vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+            self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.ends[[i for t, i in vocabulary.items() if t.endswith(self.suffix)]] = True
 
     def _learn(self, words: list[bytes]) -> dict[bytes, bytes]:
-        plain = [w for w in words if self.mark is not None and MARK.encode() not in w]
-        parts = [plain[i : i + 256] for i in range(0, len(plain), 256)]
-        joined = self.tokenizer.encode_batch_fast([f" {MARK} ".join([w.decode() for w in part]) for part in parts], add_special_tokens=False)
+        plain = [w for w in words if _PLAIN(w)] if self.bare else []
         found = {}
-        for part, e in zip(parts, joined, strict=True):
-            ids = np.array(e.ids, np.uint32)
-            ends = np.append(np.flatnonzero(ids == self.mark), len(ids)).tolist()
-            if len(ends) != len(part):
-                raise ValueError("the tokenizer does not keep the mark between words apart")
-            packed, start = ids.tobytes(), 0
-            for w, end in zip(part, ends, strict=True):
-                found[w] = packed[4 * start : 4 * end]
-                start = end + 1
+        for start in range(0, len(plain), 4096):
+            some = plain[start : start + 4096]
+            parts = [some[i : i + 256] for i in range(0, len(some), 256)]
+            encoded = self.bare.encode_batch_fast([b" ".join(part).decode() for part in parts], add_special_tokens=False)
+            ids = np.concatenate([np.array(e.ids, np.uint32) for e in encoded])
+            ends = (np.flatnonzero(self.ends[ids]) + 1) * 4
+            if len(ends) != len(some):
+                raise ValueError("the tokenizer does not end each word by its suffix")
+            packed, at = ids.tobytes(), 0
+            for w, end in zip(some, ends.tolist(), strict=True):
+                found[w] = packed[at:end]
+                at = end
         rest = [w for w in words if w not in found]
         single = self.tokenizer.encode_batch_fast([w.decode() for w in rest], add_special_tokens=False)
         return found | {w: np.array(e.ids, np.uint32).tobytes() for w, e in zip(rest, single, strict=True)}
 
-    def encode_texts(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text as unsigned 32-bit integers."""
-        young, old = self.young, self.old
-        words = [pieces(t or "") for t in texts]
-        new = [w for w in set().union(*words) if w not in young]
-        young |= {w: old[w] for w in new if w in old}
-        young |= (learnt := self._learn([w for w in new if w not in old]))
-        out = [b"".join(map(young.__getitem__, ws)) for ws in words]
-        for w in [w for w in learnt if len(w) > CACHE_BYTES]:
-            del self.young[w]
+    def encode_texts(self, texts: list[str | None]) -> list[np.ndarray]:
+        """The ids of each text as unsigned 32-bit integers. Distinct pieces are told apart and looked up once a call."""
+        words = pc.ascii_split_whitespace(pa.array([prepared(t or "") for t in texts], pa.large_string()))
+        coded = words.values.dictionary_encode()
+        distinct, which = coded.dictionary.cast(pa.large_binary()).to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
+        known = list(map(self.young.get, distinct))
+        new = [w for w, ids in zip(distinct, known, strict=True) if ids is None]
+        again = {w: self.old[w] for w in new if w in self.old}
+        learnt = self._learn([w for w in new if w not in again and w])
+        fresh = again | learnt | {b"": b""}
+        known = [fresh[w] if ids is None else ids for w, ids in zip(distinct, known, strict=True)]
+        self.young |= again
+        self.young |= {w: ids for w, ids in learnt.items() if len(w) <= CACHE_BYTES}
         if len(self.young) >= CACHE_ENTRIES:
             self.young, self.old = {}, self.young
-        return out
-
-    def encode(self, text: str | None) -> bytes:
+        # the ids of all pieces in a row, then those of each place by its piece
+        pool, sizes = np.frombuffer(b"".join(known), np.uint32), np.fromiter(map(len, known), np.int64, len(known)) // 4
+        first = np.cumsum(sizes) - sizes
+        size = sizes[which]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        ids = pool[np.repeat(first[which] - ends[:-1], size) + np.arange(ends[-1])]
+        at = ends[words.offsets.to_numpy(zero_copy_only=False) - words.offsets[0].as_py()]
+        return [ids[at[k] : at[k + 1]] for k in range(len(texts))]
+
+    def encode(self, text: str | None) -> np.ndarray:
         return self.encode_texts([text])[0]
 
 
@@ -253,15 +287,15 @@ def encoder(path: str) -> WordEncoder:
 def write(docs: DataFrame, folder: str, tokenizer: str = TOKENIZER, end: int | None = END, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Write every row's ids, with the end id after each, into folder; returns the manifest (shard, file, docs, tokens, before)."""
     common.with_workers(docs.sparkSession)
-    tail = b"" if end is None else struct.pack("<I", end)
+    tail = np.array([] if end is None else [end], np.uint32)
 
     def run(batches):
         own, out = encoder(tokenizer), Writer()
         for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
+            for start in range(0, batch.num_rows, 512):
+                part = batch.slice(start, 512)
                 for k, ids in zip(part.column(0).to_pylist(), own.encode_texts(part.column(1).to_pylist()), strict=True):
-                    out.add(k, np.frombuffer(ids + tail, np.uint32))
+                    out.add(k, np.concatenate([ids, tail]))
         if not out.n_docs:
             return
         shard = TaskContext.get().partitionId()
