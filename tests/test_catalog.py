@@ -27,11 +27,9 @@ def rows(df: pd.DataFrame) -> list:
             v = v.tolist()
         if isinstance(v, (list, tuple)):
             return tuple(plain(x) for x in v)
-        if v is None or v is pd.NaT or (isinstance(v, float) and v != v):
+        if v is pd.NA or v is None or v is pd.NaT or (isinstance(v, float) and v != v):
             return "-"
-        if isinstance(v, (bool, np.bool_, int, np.integer)):
-            return int(v)
-        return float(v) if isinstance(v, (float, np.floating)) else str(v)
+        return float(v) if isinstance(v, (bool, np.bool_, int, np.integer, float, np.floating)) else str(v)
 
     return sorted((tuple(plain(v) for v in r) for r in df[sorted(df.columns)].itertuples(index=False)), key=repr)
 
