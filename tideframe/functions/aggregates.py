@@ -49,19 +49,35 @@ def kurt(s: Scope, x: Column, min_periods: int = 4) -> Column:
 
 
 @op("quantile")
-def quantile(s: Scope, x: Column, q: float, method: str = "linear") -> Column:
+def quantile(s: Scope, x: Column, q: float, method: str = "linear", levels: tuple = ()) -> Column:
+    """levels: all linear quantiles that are asked of x here, taken in one pass over its values."""
     if method == "linear":
+        if len(levels) > 1:
+            return F.get(s.agg(F.percentile(x, F.array(*[F.lit(v) for v in levels]))), F.lit(levels.index(float(q))))
         return s.agg(F.percentile(x, F.lit(float(q))))
-    values = F.array_sort(s.agg(F.collect_list(x)))
+    if s.mode == "rows" and s.part:
+        return placed_quantile(s, x, F.row_number().over(s.by(x.asc_nulls_last())), F.count(x).over(s.whole), q, method)
+    values = F.array_sort(s.agg(F.collect_list(x)))  # of a frame's rows
     place = F.lit(float(q)) * (F.size(values) - 1)
     low, high = F.get(values, F.floor(place).cast("int")), F.get(values, F.ceil(place).cast("int"))
+    return F.when(F.size(values) > 0, _between(low, high, method))
+
+
+def _between(low: Column, high: Column, method: str) -> Column:
     out = {"lower": low, "higher": high, "midpoint": (low + high) / 2}
     if method not in out:
         raise ValueError(f"no such quantile method: {method}")
-    return F.when(F.size(values) > 0, out[method])
+    return out[method]
+
+
+def placed_quantile(s: Scope, x: Column, place: Column, n: Column, q: float, method: str) -> Column:
+    """The quantile of x, given each row's place from 1 among the n valid values in order."""
+    at = F.lit(float(q)) * (n - 1) + 1
+    pick = lambda to: s.agg(F.max(F.when(x.isNotNull() & (place == to(at)), x)))
+    return _between(pick(F.floor), pick(F.ceil), method)
 
 
-op("median")(lambda s, x: quantile(s, x, 0.5))
+op("median")(lambda s, x, levels=(): quantile(s, x, 0.5, levels=levels))
 
 
 def paired(x: Column, y: Column) -> tuple[Column, Column]:
@@ -94,8 +110,8 @@ def average_rank(s: Scope, x: Column, rev: bool = False) -> Column:
 def corr(s: Scope, x: Column, other: Column, method: str = "pearson", min_periods: int = 3) -> Column:
     if method == "pearson":
         return safe_corr(s, x, other, min_periods)
-    if method != "spearman" or s.mode == "group":
-        raise ValueError("spearman needs ranks first: use TideFrame.spearman")
+    if method != "spearman" or s.mode == "frame":
+        raise ValueError(f"no such correlation here: {method}")
     x, y = paired(x, other)
     return safe_corr(s, average_rank(s, x), average_rank(s, y), min_periods)
 
@@ -122,12 +138,20 @@ def _place(s: Scope) -> Column:
     return (F.row_number().over(s.ordered) - 1).cast("long")
 
 
+def least_at(s: Scope, x: Column, place: Column) -> Column:
+    return F.coalesce(s.agg(F.min(F.when(x.isNotNull(), F.struct(x.alias("v"), place.alias("i"))))).getField("i"), F.lit(-1).cast("long"))
+
+
+def most_at(s: Scope, x: Column, place: Column) -> Column:
+    return F.coalesce(-s.agg(F.max(F.when(x.isNotNull(), F.struct(x.alias("v"), (-place).alias("i"))))).getField("i"), F.lit(-1).cast("long"))
+
+
 @op("argmin")
 def argmin(s: Scope, x: Column) -> Column:
-    """Place of the first least value, -1 if all are missing."""
-    return F.coalesce(s.agg(F.min(F.when(x.isNotNull(), F.struct(x.alias("v"), _place(s).alias("i"))))).getField("i"), F.lit(-1))
+    """Place of the first least value among the rows of the group or partition, -1 if all are missing."""
+    return least_at(s, x, _place(s))
 
 
 @op("argmax")
 def argmax(s: Scope, x: Column) -> Column:
-    return F.coalesce(-s.agg(F.max(F.when(x.isNotNull(), F.struct(x.alias("v"), (-_place(s)).alias("i"))))).getField("i"), F.lit(-1))
+    return most_at(s, x, _place(s))

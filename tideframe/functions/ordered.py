@@ -62,9 +62,9 @@ op("bfill")(lambda s, x, value=None: fillna(s, x, "bfill", value))
 
 @op("zscore")
 def zscore(s: Scope, x: Column, min_periods: int = 3) -> Column:
-    spread = F.stddev_samp(x).over(s.whole)
-    value = F.when(spread == 0, 0.0).otherwise(F.try_divide(x - F.avg(x).over(s.whole), spread))
-    return F.when(F.count(x).over(s.whole) >= min_periods, F.when(x.isNotNull(), value))
+    spread = s.agg(F.stddev_samp(x))
+    value = F.when(spread == 0, 0.0).otherwise(F.try_divide(x - s.agg(F.avg(x)), spread))
+    return F.when(s.agg(F.count(x)) >= min_periods, F.when(x.isNotNull(), value))
 
 
 @op("winsorize")
@@ -72,28 +72,36 @@ def winsorize(s: Scope, x: Column, method: str = "quantile", method_params: floa
     """Clip to quantiles q and 1 - q (default 0.01), to the median +- 3 absolute deviations, or to the mean +- 3 deviations."""
     p = method_params if method_params is not None else {"quantile": 0.01}.get(method, 3.0)
     if method == "quantile":
-        lo, hi = (F.percentile(x, F.lit(q)).over(s.whole) for q in (p, 1 - p))
+        both = s.agg(F.percentile(x, F.array(F.lit(p), F.lit(1 - p))))
+        lo, hi = F.get(both, F.lit(0)), F.get(both, F.lit(1))
         return F.when(lo != hi, clip(s, x, lo, hi)).otherwise(x)
     if method == "median":
-        mid = F.percentile(x, F.lit(0.5)).over(s.whole)
-        around = F.percentile(F.abs(x - mid), F.lit(0.5)).over(s.whole) * p
+        mid = s.agg(F.percentile(x, F.lit(0.5)))
+        around = s.agg(F.percentile(F.abs(x - mid), F.lit(0.5))) * p
     elif method == "sigma":
-        mid, around = F.avg(x).over(s.whole), F.stddev_samp(x).over(s.whole) * p
+        mid, around = s.agg(F.avg(x)), s.agg(F.stddev_samp(x)) * p
     else:
         raise ValueError(f"no such method: {method}")
     return F.when(around > 0, clip(s, x, mid - around, mid + around)).otherwise(x)
 
 
+def ranked(s: Scope, x: Column, r: Column, pct: bool = False) -> Column:
+    return r / s.agg(F.count(x)) if pct else r
+
+
+def grouped(s: Scope, x: Column, r: Column, group: int = 10) -> Column:
+    return F.coalesce(F.ceil(F.try_divide(r * group, s.agg(F.count(x)).cast("double"))).cast("long"), F.lit(0))
+
+
 @op("rank")
 def rank(s: Scope, x: Column, pct: bool = False, rev: bool = False) -> Column:
-    r = average_rank(s, x, rev)
-    return r / F.count(x).over(s.whole) if pct else r
+    return ranked(s, x, average_rank(s, x, rev), pct)
 
 
 @op("split_group")
 def split_group(s: Scope, x: Column, group: int = 10, rev: bool = False) -> Column:
     """Group 1..group by rank; 0 for missing values."""
-    return F.coalesce(F.ceil(F.try_divide(average_rank(s, x, rev) * group, F.count(x).over(s.whole).cast("double"))).cast("long"), F.lit(0))
+    return grouped(s, x, average_rank(s, x, rev), group)
 
 
 @op("argsort")
@@ -104,11 +112,22 @@ def argsort(s: Scope, x: Column, rev: bool = False) -> Column:
 
 
 @op("set_at")
-def set_at(s: Scope, x: Column, place: int, value) -> Column:
-    """x with the value at one place of the partition (from the end if negative) replaced."""
+def set_at(s: Scope, x: Column, place, value) -> Column:
+    """x with the value at a place of the partition (from the end if negative), a slice or a list of places replaced."""
     at = F.row_number().over(s.ordered) - 1
-    wanted = F.lit(place) if place >= 0 else F.count(F.lit(1)).over(s.whole) + place
-    return F.when(at == wanted, F.lit(value) if not isinstance(value, Column) else value).otherwise(x)
+    n = s.agg(F.count(F.lit(1)))
+    if isinstance(place, slice):
+        step = place.step or 1
+        if step < 1:
+            raise ValueError("a slice runs forward")
+        edge = lambda v, default: default if v is None else F.lit(v) if v >= 0 else n + v
+        lo = F.greatest(edge(place.start, F.lit(0)), F.lit(0))
+        hit = (at >= lo) & (at < edge(place.stop, n)) & ((at - lo) % step == 0)
+    else:
+        hit = F.lit(False)
+        for p in place if isinstance(place, (list, tuple)) else [place]:
+            hit = hit | (at == (F.lit(p) if p >= 0 else n + p))
+    return F.when(hit, F.lit(value) if not isinstance(value, Column) else value).otherwise(x)
 
 
 @op("put_packed")

@@ -6,13 +6,14 @@ import re
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tideframe.functions.durations import Duration, duration
 from tideframe.functions.registry import Scope, op
 
 CASTS = {
     "float": "double", "f64": "double", "f32": "float", "int": "int", "i32": "int", "i64": "bigint", "usize": "bigint", "u64": "bigint", "opt<usize>": "bigint",
-    "bool": "boolean", "str": "string", "datetime": "timestamp_ntz", "datetime(us)": "timestamp_ntz", "datetime(ms)": "timestamp_ntz", "datetime(ns)": "timestamp_ntz", "timedelta": "interval",
+    "bool": "boolean", "str": "string", "datetime": "timestamp_ntz", "datetime(us)": "timestamp_ntz", "datetime(ms)": "timestamp_ntz", "datetime(ns)": "timestamp_ntz", "timedelta": "interval day to second",
 }
 INF = float("inf")
 
@@ -57,7 +58,9 @@ op("abs")(lambda s, x: F.abs(x))
 op("neg")(lambda s, x: -x)
 op("invert")(lambda s, x: ~x)
 op("round")(lambda s, x, precision=0: F.round(x, precision))
-op("log")(lambda s, x, base: known(F.log(double(x)) / F.log(F.lit(float(base)))))
+_ln = lambda x: F.when(x == 0, -INF).otherwise(F.log(x))
+op("log")(lambda s, x, base: known(_ln(double(x)) / F.log(F.lit(float(base)))))
+op("kept")(lambda s, x, mask: F.when(mask, x))
 op("pow")(lambda s, x, y: known(F.pow(double(x), double(y) if isinstance(y, Column) else F.lit(float(y)))))
 op("add")(lambda s, x, y: x + (y.interval if isinstance(y, Duration) else y))
 op("radd")(lambda s, x, y: y + x)
@@ -67,7 +70,36 @@ op("mul")(lambda s, x, y: x * y)
 op("rmul")(lambda s, x, y: y * x)
 op("div")(lambda s, x, y: F.try_divide(double(x), double(y) if isinstance(y, Column) else F.lit(float(y))))
 op("rdiv")(lambda s, x, y: F.try_divide(F.lit(float(y)), double(x)))
-op("matmul", "dot")(lambda s, x, y: F.aggregate(F.zip_with(x, y, lambda a, b: a.cast("double") * b), F.lit(0.0), lambda a, b: a + b))
+
+
+def dot(x: Column, y: Column) -> Column:
+    return F.aggregate(F.zip_with(x, y, lambda a, b: a.cast("double") * b), F.lit(0.0), lambda a, b: a + b)
+
+
+def transposed(x: Column) -> Column:
+    return F.transform(F.sequence(F.lit(0), F.size(F.get(x, F.lit(0))) - 1), lambda j: F.transform(x, lambda r: F.get(r, j)))
+
+
+def depth(s: Scope, x: Column) -> int:
+    """2 for a matrix (an array of rows), else 1."""
+    kind = s.kind(x)
+    return 2 if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.ArrayType) else 1
+
+
+@op("matmul", "dot")
+def matmul(s: Scope, x: Column, y: Column) -> Column:
+    """Products of vectors and matrices, the last axis of x with the first of y."""
+    nx, ny = depth(s, x), depth(s, y)
+    if (nx, ny) == (1, 1):
+        return dot(x, y)
+    if ny == 1:
+        return F.transform(x, lambda r: dot(r, y))
+    columns = transposed(y)
+    if nx == 1:
+        return F.transform(columns, lambda c: dot(x, c))
+    return F.transform(x, lambda r: F.transform(columns, lambda c: dot(r, c)))
+
+
 op("eq")(lambda s, x, y: x == y)
 op("ne")(lambda s, x, y: x != y)
 op("lt")(lambda s, x, y: x < y)
@@ -110,11 +142,29 @@ def if_then(s: Scope, x: Column, con: Column, then) -> Column:
     return F.when(con, then).otherwise(x)
 
 
+def as_interval(x: Column) -> Column:
+    """Microseconds as a duration."""
+    return F.make_dt_interval(secs=(x.cast("decimal(24,6)") / 1_000_000).cast("decimal(18,6)"))
+
+
+def micros(x: Column) -> Column:
+    """A duration in whole microseconds."""
+    part = lambda unit: F.extract(F.lit(unit), x)
+    return ((part("DAY").cast("long") * 24 + part("HOUR")) * 60 + part("MINUTE")) * 60_000_000 + (part("SECOND") * 1_000_000).cast("long")
+
+
+op("micros")(lambda s, x: micros(x))
+
+
 @op("cast")
 def cast(s: Scope, x: Column, ty: str) -> Column:
     kind = CASTS.get(ty.lower().replace("[", "(").replace("]", ")"))
     if kind is None:
         raise ValueError(f"no such type: {ty}")
+    if kind.startswith("interval") and isinstance(s.kind(x), T.NumericType):
+        return as_interval(x)
+    if isinstance(s.kind(x), T.DayTimeIntervalType) and kind in ("int", "bigint", "double"):
+        return micros(x).cast(kind)
     out = x.try_cast(kind)
     return F.date_trunc("millisecond", out).cast("timestamp_ntz") if "(ms)" in ty.lower().replace("[", "(").replace("]", ")") else out
 
@@ -156,7 +206,8 @@ op("day")(lambda s, x: F.dayofmonth(x))
 op("insert_axis")(lambda s, x, position=0: F.array(x))
 op("remove_axis")(lambda s, x, position=0: F.get(x, F.lit(0)))
 op("diag")(lambda s, x: F.transform(F.sequence(F.lit(0), F.least(F.size(x), F.size(F.get(x, F.lit(0)))) - 1), lambda i: F.get(F.get(x, i), i)))
-op("t", "swap_axes", "permuted_axes")(lambda s, x, *axes: F.transform(F.sequence(F.lit(0), F.size(F.get(x, F.lit(0))) - 1), lambda j: F.transform(x, lambda r: F.get(r, j))))
+op("t", "swap_axes", "permuted_axes", "conjugate")(lambda s, x, *axes: transposed(x))  # numbers are real
+op("shape")(lambda s, x: F.array(F.size(x), F.size(F.get(x, F.lit(0)))) if depth(s, x) == 2 else F.array(F.size(x)))
 op("flatten")(lambda s, x: F.flatten(x))
 op("broadcast", "broadcast_with")(lambda s, x, n: F.array_repeat(x, n))
 op("reshape")(lambda s, x, cols: F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / cols).cast("int")), lambda i: F.slice(x, i * cols + 1, cols)))

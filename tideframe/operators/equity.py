@@ -18,7 +18,7 @@ def walk(pos, opening, closing, roll, spread, cash: float, multiplier: float, le
 
     At the open the held lots earn the move since the last close, unless the contract rolls, in which case the gap is not
     earned. A changed position is then traded at the open: lots are the whole number of contracts that cash times
-    leverage times the position pays for. A roll pays for
+    leverage times the position pays for (rounded down, so an account below zero holds against its position). A roll pays for
     the new lots twice, out of the old contract and into the new. Costs are a rate on the amount traded, or a
     fixed sum a lot (fixed), and slippage. The lots then earn the move from open to close. With blowup, an account that
     falls to zero stays there.
@@ -38,7 +38,7 @@ def walk(pos, opening, closing, roll, spread, cash: float, multiplier: float, le
         if last_lots and not rolled and not math.isnan(last_close):
             cash += last_lots * (o - last_close) * multiplier
         if p != last_pos or rolled:
-            lots = math.copysign(math.floor(cash * leverage * abs(p) / (multiplier * o)), p) if p else 0.0
+            lots = math.floor(cash * leverage * abs(p) / (multiplier * o)) * math.copysign(1.0, p) if p else 0.0
             traded = 2 * abs(lots) if rolled else abs(lots - last_lots)
             slip = traded * (slippage * ticksize + spread[i]) * multiplier
             cash -= (traded * c_rate if fixed else traded * multiplier * o * c_rate) + slip

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from tideframe.functions.durations import bucket_start, duration
 from tideframe.functions.registry import Scope
 from tideframe.plans.expr import Expr, asexpr, col
+from tideframe.plans.prepare import prepared
 
 #: Aggregates that a string names.
-SHORT = {"sum", "mean", "var", "std", "min", "max", "umin", "umax", "first", "last", "valid_first", "valid_last", "median", "prod", "skew", "kurt", "count_valid", "count_none", "any", "all", "len"}
+SHORT = {"sum", "mean", "var", "std", "min", "max", "umin", "umax", "first", "last", "valid_first", "valid_last", "median", "prod", "skew", "kurt", "count_valid", "count_none", "any", "all", "len", "argmin", "argmax"}
 
 
 class Grouped:
@@ -34,7 +35,6 @@ class Grouped:
         self.keys = [k if isinstance(k, tuple) else (k, k) for k in self.keys]
 
     def agg(self, *exprs, **named) -> DataFrame:
-        scope = Scope((), self.frame.order, "group")
         wanted: dict[str, Expr] = {e.name: e for e in exprs}
         for name, how in named.items():
             if isinstance(how, str):
@@ -42,10 +42,11 @@ class Grouped:
                     raise ValueError(f"no such aggregate: {how}")
                 how = getattr(col(name), how)()
             wanted[name] = asexpr(how)
+        scope = prepared(self.df, Scope(tuple(F.col(k) for k, _ in self.keys), self.frame.order, "group"), list(wanted.values()))
         cols = [e.lower(scope).alias(n) for n, e in wanted.items()]
         if self.sort:
             cols.append(F.min(scope.key).alias("__first"))
-        out = self.df.groupBy(*[k for k, _ in self.keys]).agg(*cols)
+        out = scope.df.groupBy(*[k for k, _ in self.keys]).agg(*cols)
         if self.sort:
             out = out.orderBy("__first")
         return out.select(*[F.col(k).alias(n) for k, n in self.keys], *wanted)

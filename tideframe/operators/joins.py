@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideframe.functions.durations import duration
+from tideframe.functions.registry import Scope
+from tideframe.operators.ranges import numbered
+from tideframe.plans.expr import Expr, asexpr, col
+from tideframe.plans.prepare import prepared
 
 
 def _same(left: DataFrame, right: DataFrame, pairs) -> Column:
@@ -68,15 +72,15 @@ def join(left, right, on=None, left_on=None, right_on=None, how: str = "left", u
     if how == "outer":
         return outer_join(left, right, pairs, sort, rev, suffix)
     if how in ("inner", "semi", "anti"):
+        keys = [b for _, b in pairs]
+        take = {c: c + suffix if c in left.columns else c for c in right.columns if c not in keys} if how == "inner" else {}
+        r = right.df.select(*[F.col(b).alias(f"__k{i}") for i, b in enumerate(keys)], *[F.col(c).alias(n) for c, n in take.items()])
         cond = None
-        for a, b in pairs:
-            c = left.df[a] == right.df[b]
+        for i, (a, _) in enumerate(pairs):
+            c = left.df[a] == r[f"__k{i}"]
             cond = c if cond is None else cond & c
-        out = left.df.join(right.df, cond, {"inner": "inner", "semi": "left_semi", "anti": "left_anti"}[how])
-        if how == "inner":
-            take = {c: c + suffix if c in left.columns else c for c in right.columns if c not in [b for _, b in pairs]}
-            out = out.select(*[left.df[c] for c in left.columns], *[right.df[c].alias(n) for c, n in take.items()])
-        return left._with(out)
+        out = left.df.join(r, cond, {"inner": "inner", "semi": "left_semi", "anti": "left_anti"}[how])
+        return left._with(out.select(*left.columns, *take.values()))
     raise ValueError(f"no such join: {how}")
 
 
@@ -91,42 +95,121 @@ def asof_join(left, right, time: str, values: list[str]):
     return left._with(out.select(*left.columns, *[f"{v}_asof" for v in values]))
 
 
+class Picked:
+    """frame.rolling(window, time=, offset=) or frame.rolling(idx=): each row aggregates rows that an equi-join picks.
+
+    With offset, the rows of its partition whose times lie k offsets before it, k = 0 to window over offset; of rows of
+    one time the first counts. With idx, the rows at places of the partition: a column of starts takes all from there to
+    the row itself, a column of arrays those at its places (no place, missing and out-of-range ones pick nothing).
+    """
+
+    def __init__(self, frame, window=None, time: str | None = None, offset=None, idx: str | None = None):
+        if (idx is None) == (window is None) or (idx is None and (time is None or offset is None)):
+            raise ValueError("give a window with time and offset, or idx")
+        self.frame, self.window, self.time, self.offset, self.idx = frame, window, time, offset, idx
+
+    def _lagged(self):
+        """(rows with the picked time in __at, rows to pick from by __t)"""
+        w, by = duration(self.window), duration(self.offset)
+        if w.months or by.months or by.micros <= 0:
+            raise ValueError("sampled lags take exact durations")
+        left = self.frame.df.select("*", F.explode(F.sequence(F.lit(0), F.lit(w.micros // by.micros))).alias("__k"))
+        picked = self.frame.unique([*self.frame.part, self.time], "first").df
+        return left.withColumn("__at", F.col(self.time) - by.interval * F.col("__k")).drop("__k"), picked.withColumn("__t", F.col(self.time))
+
+    def _placed(self):
+        placed = self.frame.df.withColumn("__t", F.row_number().over(self.frame.scope.ordered) - 1)
+        starts = self.frame.df.schema[self.idx].dataType.typeName() != "array"
+        here = F.greatest(F.col(self.idx), F.lit(0)).cast("long")
+        picks = F.when(here <= F.col("__t"), F.sequence(here, F.col("__t").cast("long"))) if starts else F.col(self.idx).cast("array<long>")
+        return placed.withColumn("__at", F.explode_outer(picks)).drop("__t"), placed
+
+    def agg(self, **named):
+        """The frame with a column for each aggregate of what its rows pick."""
+        frame = self.frame
+        frame.scope.need_order()
+        left, right = self._lagged() if self.idx is None else self._placed()
+        own = {c: f"__l{i}" for i, c in enumerate(frame.columns)}
+        left = left.select(*[F.col(c).alias(n) for c, n in own.items()], "__at")
+        cond = left["__at"] == right["__t"]
+        for p in frame.part:
+            cond = cond & left[own[p]].eqNullSafe(right[p])
+        # a row is known by its partition and order; the other columns go along with the aggregation
+        keys = list(dict.fromkeys([*frame.part, *frame.order]))
+        rest = [c for c in frame.columns if c not in keys]
+        # what no row was picked for has no place in the order, so that it is neither first nor last
+        joined = left.join(right.withColumn("__o", F.struct(*frame.order)), cond, "left")
+        wanted = {n: e if isinstance(e, Expr) else asexpr(e) for n, e in named.items()}
+        scope = prepared(joined, Scope(tuple(F.col(own[k]) for k in keys), (F.col("__o"),), "group"), list(wanted.values()))
+        out = scope.df.groupBy(*[own[k] for k in keys]).agg(*[F.first(own[c]).alias(own[c]) for c in rest], *[e.lower(scope).alias(n) for n, e in wanted.items()])
+        return frame._with(out.select(*[F.col(n).alias(c) for c, n in own.items() if c not in wanted], *wanted))
+
+
 def rolling_offset(frame, value: str, time: str, window: str, step: str, name: str = "sum"):
-    """For each row the sum of the rows of its partition whose times lie k steps before it, k = 0 to window over step:
-    sampled lags by an equi-join; of rows with one time the first counts."""
-    w, by = duration(window), duration(step)
-    if w.months or by.months or by.micros <= 0:
-        raise ValueError("sampled lags take exact durations")
-    lags = w.micros // by.micros
-    left = frame.df.withColumn("__row", F.struct(*frame.order))
-    first = frame.unique([time], "first").df.select(*[F.col(p).alias(f"__p{i}") for i, p in enumerate(frame.part)], F.col(time).alias("__t"), F.col(value).alias("__v"))
-    spread = left.select("*", F.explode(F.sequence(F.lit(0), F.lit(lags))).alias("__k")).withColumn("__at", F.col(time) - by.interval * F.col("__k"))
-    cond = F.col("__at") == F.col("__t")
-    for i, p in enumerate(frame.part):
-        cond = cond & spread[p].eqNullSafe(first[f"__p{i}"])
-    sums = spread.join(first, cond, "left").groupBy(*frame.part, "__row").agg(F.coalesce(F.sum("__v"), F.lit(0.0)).alias(name))
-    sums = sums.select(*[F.col(p).alias(f"__p{i}") for i, p in enumerate(frame.part)], F.col("__row").alias("__r"), name)
-    match = left["__row"] == sums["__r"]
-    for i, p in enumerate(frame.part):
-        match = match & left[p].eqNullSafe(sums[f"__p{i}"])
-    return frame._with(left.join(sums, match, "left").select(*frame.columns, name))
-
-
-def align_frames(frames, by: str, sort: bool = True, rev: bool = False):
-    """The frames on one index: all keys of any, each frame's first row of a key, missing where it has none."""
+    """frame with the sum of value over sampled lags."""
+    return Picked(frame, window, time, step).agg(**{name: col(value).sum()})
+
+
+def _keys_and_rows(frames, by: list[str]) -> tuple[DataFrame, list[DataFrame]]:
+    """All keys of any frame, and each frame's row of a key: the first of the first frame, the last of the others."""
     keys = None
     for f in frames:
-        own = f.df.select(by).distinct()
+        own = f.df.select(*[F.col(b).alias(f"__k{i}") for i, b in enumerate(by)]).distinct()
         keys = own if keys is None else keys.union(own)
-    keys = keys.distinct()
-    out = []
-    for f in frames:
-        rows = f.unique([by], "first").df
-        rows = rows.select(F.col(by).alias("__k"), *[c for c in f.columns if c != by])
-        one = keys.join(rows, keys[by].eqNullSafe(rows["__k"]), "left").select(by, *[c for c in f.columns if c != by])
-        if sort:
-            one = one.orderBy(F.col(by).desc_nulls_last() if rev else F.col(by).asc_nulls_last())
-        out.append(f._with(one, order=(by,)))
-    return out
+    rows = [f.unique(by, "last" if i else "first").df for i, f in enumerate(frames)]
+    return keys.distinct(), rows
+
 
+def _aligned(keys: DataFrame, rows: DataFrame, by: list[str], take: dict[str, str]) -> DataFrame:
+    """keys with the columns take (name -> new name) of rows, whose keys are in by."""
+    r = rows.select(*[F.col(b).alias(f"__r{i}") for i, b in enumerate(by)], *[F.col(c).alias(n) for c, n in take.items()])
+    cond = None
+    for i in range(len(by)):
+        c = keys[f"__k{i}"].eqNullSafe(r[f"__r{i}"])
+        cond = c if cond is None else cond & c
+    return keys.join(r, cond, "left").drop(*[f"__r{i}" for i in range(len(by))])
+
+
+def align_frames(frames, by, sort: bool = True, rev: bool = False, outer_df: bool = False, with_by: bool = True):
+    """The frames on one index, as outer joins one after the other leave them: all keys of any, for each the first row of
+    the first frame and the last of every other, missing where a frame has none.
 
+    outer_df: one frame, the columns of frame i named with the suffix __align_by{i}. Without with_by the keys are left out
+    (and returned first, as a frame, beside a list of frames).
+    """
+    frames, by = list(frames), [by] if isinstance(by, str) else list(by)
+    if len(frames) < 2:
+        return frames
+    keys, rows = _keys_and_rows(frames, by)
+
+    def shown(df: DataFrame, f, columns: list[str], keep: bool = with_by):
+        if sort:
+            df = df.orderBy(*[F.col(f"__k{i}").desc_nulls_last() if rev else F.col(f"__k{i}").asc_nulls_last() for i in range(len(by))])
+        names = [F.col(f"__k{i}").alias(b) for i, b in enumerate(by)] if keep else []
+        return f._with(df.select(*names, *columns), order=tuple(by) if keep else (), part=())
+
+    if outer_df:
+        out, columns = keys, []
+        for i, (f, r) in enumerate(zip(frames, rows, strict=True)):
+            take = {c: f"{c}__align_by{i}" for c in f.columns if c not in by}
+            out, columns = _aligned(out, r, by, take), [*columns, *take.values()]
+        return shown(out, frames[0], columns)
+    each = [shown(_aligned(keys, r, by, {c: c for c in f.columns if c not in by}), f, [c for c in f.columns if c not in by]) for f, r in zip(frames, rows, strict=True)]
+    return each if with_by else (shown(keys, frames[0], [], keep=True), each)
+
+
+def get_align_frames_idx(frames, by, sort: bool = True, rev: bool = False, return_by: bool = False):
+    """A frame with a column idx{i} for each frame: the place in it, from 0, of the row that align_frames takes for a key,
+    missing where it has none; with return_by, the keys too. Rows are in the order of align_frames."""
+    frames, by = list(frames), [by] if isinstance(by, str) else list(by)
+    if len(frames) < 2:
+        return frames
+    placed = [f._with(numbered(f.df, [F.col(o) for o in f.order], f"idx{i}").select(*by, *[o for o in f.order if o not in by], f"idx{i}"), part=()) for i, f in enumerate(frames)]
+    keys, rows = _keys_and_rows(placed, by)
+    out = keys
+    for i, r in enumerate(rows):
+        out = _aligned(out, r, by, {f"idx{i}": f"idx{i}"})
+    if sort:
+        out = out.orderBy(*[F.col(f"__k{i}").desc_nulls_last() if rev else F.col(f"__k{i}").asc_nulls_last() for i in range(len(by))])
+    names = [F.col(f"__k{i}").alias(b) for i, b in enumerate(by)] if return_by else []
+    return frames[0]._with(out.select(*names, *[f"idx{i}" for i in range(len(frames))]), order=tuple(by) if return_by else (), part=())

@@ -16,17 +16,19 @@ import tideframe.functions.ordered
 import tideframe.functions.rolling
 import tideframe.functions.scalar  # noqa: F401
 from tideframe.functions.durations import Duration, duration
-from tideframe.functions.registry import HINTS, OPS, Scope
+from tideframe.functions.registry import HINTS, OPS, PREPARED, Scope
+from tideframe.functions.scalar import spark_pattern
 
 
 class Expr:
-    """A node: kind "col", "lit", "column" (a Catalyst column as it is) or the name of an operation."""
+    """A node: kind "col", "lit", "column" (a Catalyst column as it is), "values" (a value for each place in the order of rows)
+    or the name of an operation."""
 
     def __init__(self, kind: str, args: tuple = (), kw: dict | None = None, name: str | None = None):
         self.kind, self.args, self.kw, self._name = kind, args, kw or {}, name
 
     def __repr__(self) -> str:
-        if self.kind in ("col", "lit", "column"):
+        if self.kind in ("col", "lit", "column", "values"):
             return f"{self.kind}({self.args[0]!r})"
         return f"{self.args[0]!r}.{self.kind}({', '.join([*map(repr, self.args[1:]), *[f'{k}={v!r}' for k, v in self.kw.items()]])})"
 
@@ -57,6 +59,22 @@ class Expr:
 
         return Rolling(self, window, **kw)
 
+    def filter(self, mask) -> Expr:
+        """Where mask holds: aggregates skip the rest, and a projection of it alone drops those rows."""
+        return Expr("kept", (self, asexpr(mask)))
+
+    def dropna(self) -> Expr:
+        return self.filter(self.not_nan())
+
+    def groupby(self, *by, **kw) -> GroupedExpr:
+        """Grouped by keys or time buckets as a frame is; select() of an aggregate of it gives a row for each group."""
+        return GroupedExpr(self, by, kw)
+
+    @property
+    def ndim(self) -> int:
+        """1: an expression is a column; its values may be arrays."""
+        return 1
+
     def columns(self) -> set[str]:
         """Names of the columns the tree reads."""
         if self.kind == "col":
@@ -70,10 +88,17 @@ class Expr:
             return F.lit(self.args[0])
         if self.kind == "column":
             return self.args[0]
+        if self.kind == "values":
+            return F.get(F.array(*[F.lit(v) for v in self.args[0]]), F.row_number().over(scope.ordered) - 1)
         if self.kind == "rolled":
             return self.args[0].lower(scope)
         down = lambda v: v.lower(scope) if isinstance(v, Expr) else v
-        return OPS[self.kind](scope, *map(down, self.args), **{k: down(v) for k, v in self.kw.items()})
+        args, kw = list(map(down, self.args)), {k: down(v) for k, v in self.kw.items()}
+        if scope.helpers and (name := scope.helpers.get(repr(self))):
+            return PREPARED[self.kind][2](scope, name, *args, **kw)
+        if self.kind in ("quantile", "median") and scope.mode == "group":
+            kw["levels"] = scope.specs.get("levels", {}).get(repr(self.args[0]), ())
+        return OPS[self.kind](scope, *args, **kw)
 
     __hash__ = None
 
@@ -101,8 +126,45 @@ def lit(value) -> Expr:
 
 
 def asexpr(value) -> Expr:
-    """An expression of an expression, a Catalyst column or a scalar."""
-    return value if isinstance(value, Expr) else Expr("column", (value,)) if isinstance(value, Column) else lit(value)
+    """An expression of an expression, a Catalyst column, a scalar, or a list, array or series with a value for each row."""
+    if isinstance(value, Expr):
+        return value
+    if isinstance(value, Column):
+        return Expr("column", (value,))
+    if hasattr(value, "tolist") and getattr(value, "ndim", 0) == 1:
+        name = getattr(value, "name", None)
+        return Expr("values", (tuple(None if v != v else v for v in value.tolist()),), name=name if isinstance(name, str) else None)
+    if isinstance(value, (list, tuple)):
+        return Expr("values", (tuple(value),))
+    return lit(value)
+
+
+def asexprs(values) -> list[Expr]:
+    """Expressions of a list of what asexpr() takes, or of the columns of a frame."""
+    return [col(c) for c in values.columns] if hasattr(values, "columns") and not isinstance(values, Expr) else [asexpr(v) for v in values]
+
+
+def datetime(text: str, fmt: str | None = None) -> Expr:
+    """A literal time without a zone; fmt as strptime takes it, ISO 8601 by default."""
+    return Expr("column", (F.to_timestamp_ntz(F.lit(text), F.lit(spark_pattern(fmt))) if fmt else F.to_timestamp_ntz(F.lit(text)),), name="datetime")
+
+
+class GroupedExpr:
+    """expr.groupby(...): its aggregates, and agg() of expressions, are expressions that select() of a frame runs by group."""
+
+    def __init__(self, expr: Expr, by: tuple, kw: dict):
+        self.expr, self.by, self.kw = expr, by, kw
+
+    def __getattr__(self, kind: str):
+        if kind.startswith("_") or kind not in OPS:
+            raise AttributeError(kind)
+        return lambda *args, **kw: self.agg(Expr(kind, (self.expr, *args), kw))
+
+    def agg(self, agg):
+        """A grouped expression of an aggregate, or a list of them."""
+        if isinstance(agg, (list, tuple)):
+            return [self.agg(a) for a in agg]
+        return Expr("grouped", (agg,), {"by": self.by, "how": self.kw}, agg.name)
 
 
 def where(mask: Expr, x, other) -> Expr:
