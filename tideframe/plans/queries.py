@@ -8,7 +8,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideframe.functions import distributions
 from tideframe.operators import equity, joins, linalg
 from tideframe.operators.frame import TideFrame
 from tideframe.plans.catalog import register
@@ -90,7 +89,12 @@ for _name, _sql, _d in [
     _each_row(_name, getattr(v, _name)(y, N), f"CASE WHEN count({PX}) OVER w >= 2 THEN {_sql} END", _d)
 
 
-@register("ts_regx_resid_skew")
+@register("ts_regx_resid_skew", f"""WITH w AS (SELECT event_id, list({PX}) FILTER (WHERE {PX} IS NOT NULL) OVER w AS a, list({PY}) FILTER (WHERE {PX} IS NOT NULL) OVER w AS b FROM {E_SQL} {W}),
+  m AS (SELECT event_id, a, b, len(a) AS n, list_avg(a) AS ma, list_avg(b) AS mb FROM w),
+  f AS (SELECT *, list_sum(list_transform(a, lambda x, i: (x - ma) * (b[i] - mb))) / nullif(list_sum(list_transform(b, lambda x: (x - mb) * (x - mb))), 0) AS beta FROM m),
+  r AS (SELECT event_id, n, list_transform(a, lambda x, i: x - ma - beta * (b[i] - mb)) AS e FROM f),
+  s AS (SELECT event_id, n, list_sum(list_transform(e, lambda x: x * x)) / n AS m2, list_sum(list_transform(e, lambda x: x * x * x)) / n AS m3 FROM r)
+  SELECT event_id, round(CASE WHEN n >= 3 AND m2 > 1e-14 THEN sqrt(n * (n - 1.0)) / (n - 2) * m3 / pow(m2, 1.5) END, 4) + 0.0 AS r FROM s""")
 def ts_regx_resid_skew(spark, sf_dir):
     return events(spark, sf_dir).with_columns(r=v.ts_regx_resid_skew(y, N)).df.select("event_id", rounded("r", 4))
 
@@ -147,14 +151,29 @@ for _name, _expr, _sql, _d in [
 ]:
     _each_row(_name, _expr, _sql, _d)
 _UNARY = {"sqrt": "sqrt(v)", "cbrt": "cbrt(v)", "ln": "ln(v)", "ln_1p": "ln(1 + v)", "log2": "log2(v)", "log10": "log10(v)", "sin": "sin(v)", "cos": "cos(v)", "tan": "tan(v)", "atan": "atan(v)", "ceil": "ceil(v)", "floor": "floor(v)", "trunc": "trunc(v)", "fract": "v - trunc(v)", "sign": "sign(v)", "abs": "abs(v)"}
+# what is out of an operation's domain is missing, but for logarithms of nothing
+_DOMAIN = {"sqrt": "v >= 0", "ln": "v > 0", "ln_1p": "v > -1", "log2": "v > 0", "log10": "v > 0"}
+_LOWEST = {"ln": "v = 0", "ln_1p": "v = -1", "log2": "v = 0", "log10": "v = 0"}
 
 
-@register("math_unary", f"SELECT event_id, {', '.join(f'round({s}, 4) + 0.0 AS {n}' for n, s in _UNARY.items())}, round(exp(v / 100), 6) AS exp, round(pow(2, v / 100), 6) AS exp2, round(exp(v / 100) - 1, 6) AS exp_m1, round(asin(v / 1000), 6) AS asin, round(acos(v / 1000), 6) AS acos FROM {E_SQL} WHERE v > 0.001 AND v < 1000")
+def _guarded(name: str, sql: str) -> str:
+    low = f" WHEN {_LOWEST[name]} THEN '-inf'::DOUBLE" if name in _LOWEST else ""
+    return f"CASE WHEN {_DOMAIN.get(name, 'true')} THEN {sql}{low} END"
+
+
+# of every event: its value, and a number of any sign, 0 and -1 among them, in u
+@register("math_unary", f"""WITH e AS (SELECT event_id, v, y - 50 AS u FROM {E_SQL}), a AS (SELECT event_id, v, {', '.join(f'round({_guarded(n, q)}, 4) + 0.0 AS {n}' for n, q in _UNARY.items())},
+  round(exp(v / 100), 6) AS exp, round(pow(2, v / 100), 6) AS exp2, round(exp(v / 100) - 1, 6) AS exp_m1, round(asin(v / 1000), 6) AS asin, round(acos(v / 1000), 6) AS acos FROM e),
+  b AS (SELECT event_id, {', '.join(f'round({_guarded(n, q)}, 4) + 0.0 AS u_{n}' for n, q in _UNARY.items())}, round(CASE WHEN abs(v) <= 25 THEN asin(v / 25) END, 6) + 0.0 AS u_asin,
+  round(CASE WHEN abs(v) <= 25 THEN acos(v / 25) END, 6) + 0.0 AS u_acos, round(CASE WHEN v > 0 THEN ln(v) / ln(7) WHEN v = 0 THEN '-inf'::DOUBLE END, 6) + 0.0 AS u_log FROM (SELECT event_id, u AS v FROM e))
+  SELECT a.* EXCLUDE (v), b.* EXCLUDE (event_id) FROM a JOIN b USING (event_id)""")
 def math_unary(spark, sf_dir):
-    f = events(spark, sf_dir).filter((v > 0.001) & (v < 1000.0))
+    f, u = events(spark, sf_dir).with_columns(u=y - 50), col("u")
     small = {n: getattr(v / 100, n)() for n in ("exp", "exp2", "exp_m1")} | {n: getattr(v / 1000, n)() for n in ("asin", "acos")}
-    df = f.with_columns(**{n: getattr(v, n)() for n in _UNARY}, **small).df
-    return df.select("event_id", *[rounded(n, 4) for n in _UNARY], *[rounded(n) for n in small])
+    signed = {f"u_{n}": getattr(u, n)() for n in _UNARY}
+    narrow = {"u_asin": (u / 25).asin(), "u_acos": (u / 25).acos(), "u_log": u.log(7)}
+    df = f.with_columns(**{n: getattr(v, n)() for n in _UNARY}, **small, **signed, **narrow).df
+    return df.select("event_id", *[rounded(n, 4) for n in (*_UNARY, *signed)], *[rounded(n) for n in (*small, *narrow)])
 
 
 @register("cast_round_finite", f"SELECT event_id, v::INTEGER::BIGINT AS a, round(v, 2) AS b, v IS NOT NULL AS c, event_id::VARCHAR AS d, round(pow(v, 0.5), 4) AS e FROM (SELECT event_id, trunc(v) + 0.25 AS v FROM {E_SQL})")
@@ -166,7 +185,7 @@ def cast_round_finite(spark, sf_dir):
 @register("datetime_diff", f"SELECT event_id, (epoch_us(ts) - epoch_us(lag(ts) OVER o))::BIGINT AS r FROM {E_SQL} {W}")
 def datetime_diff(spark, sf_dir):
     f = events(spark, sf_dir).with_columns(b=col("ts").shift(1))
-    return f.df.select("event_id", (F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.col("b").cast("timestamp"))).alias("r"))
+    return f.select("event_id", r=(col("ts") - col("b")).cast("i64")).df
 
 
 @register("ts_flagship", f"SELECT event_id, user_id, round(avg(value) OVER w, 6) AS mean, round(stddev_samp(value) OVER w, 6) AS std, round((value - avg(value) OVER w) / nullif(stddev_samp(value) OVER w, 0), 5) + 0.0 AS z FROM events {W}")
@@ -250,11 +269,7 @@ def h_sum_mean_std_min_max(spark, sf_dir):
 
 @register("argmin_argmax", f"SELECT DISTINCT user_id, coalesce(arg_min(rn, (v, rn)) FILTER (WHERE v IS NOT NULL) OVER (PARTITION BY user_id), -1) AS a, coalesce(arg_max(rn, (v, -rn)) FILTER (WHERE v IS NOT NULL) OVER (PARTITION BY user_id), -1) AS b FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS rn FROM {E_SQL})")
 def argmin_argmax(spark, sf_dir):
-    f = events(spark, sf_dir).with_columns(rn=col("event_id").argsort())
-    place = F.row_number().over(f.scope.ordered) - 1
-    df = f.df.withColumn("rn", place.cast("long"))
-    some = F.col("v").isNotNull()
-    return df.groupBy("user_id").agg(F.coalesce(F.min(F.when(some, F.struct("v", "rn"))).getField("rn"), F.lit(-1)).alias("a"), F.coalesce(-F.max(F.when(some, F.struct(F.col("v"), (-F.col("rn")).alias("r")))).getField("r"), F.lit(-1)).alias("b"))
+    return events(spark, sf_dir).groupby("user_id").agg(a=v.argmin(), b=v.argmax())
 
 
 # relational
@@ -305,9 +320,9 @@ def take_slice(spark, sf_dir):
     return events(spark, sf_dir).take(slice(2, -1, 3)).df.select("event_id")
 
 
-@register("take_places", f"SELECT event_id FROM (SELECT *, row_number() OVER o - 1 AS rn, count(*) OVER p AS n FROM {E_SQL} {W}) WHERE rn = 0 OR rn = n - 1")
+@register("take_places", f"WITH p AS (SELECT event_id, row_number() OVER o - 1 AS rn, count(*) OVER p AS n FROM {E_SQL} {W}) SELECT event_id, 0::BIGINT AS at FROM p WHERE rn = 0 UNION ALL SELECT event_id, 1 FROM p WHERE rn = n - 1")
 def take_places(spark, sf_dir):
-    return events(spark, sf_dir).take([0, -1]).df.select("event_id").distinct()
+    return events(spark, sf_dir).take([0, -1]).df.select("event_id", F.col("__at").alias("at"))
 
 
 @register("concat", "SELECT c_custkey AS k, c_acctbal AS b, 0 AS src FROM customer UNION ALL SELECT s_suppkey, s_acctbal, 1 FROM supplier")
@@ -319,11 +334,11 @@ def concat(spark, sf_dir):
 _ORD = "(SELECT o_orderkey, o_custkey, o_totalprice FROM orders)"
 
 
-@register("left_join_repeated_keys", """WITH l AS (SELECT event_id, user_id % 50 AS k, row_number() OVER (PARTITION BY user_id % 50 ORDER BY event_id) AS rn FROM events), r AS (SELECT c_custkey % 50 AS k, c_acctbal, row_number() OVER (PARTITION BY c_custkey % 50 ORDER BY c_custkey DESC) AS rr, count(*) OVER (PARTITION BY c_custkey % 50) AS c FROM customer WHERE c_custkey % 50 < 40)
+@register("left_join_repeated_keys", """WITH l AS (SELECT event_id, user_id % 60 AS k, row_number() OVER (PARTITION BY user_id % 60 ORDER BY event_id) AS rn FROM events), r AS (SELECT c_custkey % 50 AS k, c_acctbal, row_number() OVER (PARTITION BY c_custkey % 50 ORDER BY c_custkey DESC) AS rr, count(*) OVER (PARTITION BY c_custkey % 50) AS c FROM customer)
 SELECT l.event_id, r.c_acctbal FROM l LEFT JOIN r ON l.k = r.k AND least(l.rn, r.c) = r.rr""")
 def left_join_repeated_keys(spark, sf_dir):
-    a = TideFrame(table(spark, sf_dir, "events").select("event_id", (F.col("user_id") % 50).alias("k")), "event_id")
-    b = TideFrame(table(spark, sf_dir, "customer").where("c_custkey % 50 < 40").select("c_custkey", (F.col("c_custkey") % 50).alias("k"), "c_acctbal"), "c_custkey")
+    a = TideFrame(table(spark, sf_dir, "events").select("event_id", (F.col("user_id") % 60).alias("k")), "event_id")
+    b = TideFrame(table(spark, sf_dir, "customer").select("c_custkey", (F.col("c_custkey") % 50).alias("k"), "c_acctbal"), "c_custkey")
     return a.join(b, on="k").df.select("event_id", "c_acctbal")
 
 
@@ -346,7 +361,7 @@ def outer_join_distinct(spark, sf_dir):
     return a.join(b, on="k", how="outer").df.select("k", "c_acctbal", "s_acctbal")
 
 
-@register("align_frames", "WITH k AS (SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier) SELECT k.k, a.b AS x, b.b AS y FROM k LEFT JOIN (SELECT c_nationkey AS k, arg_min(c_acctbal, c_custkey) AS b FROM customer GROUP BY 1) a ON k.k = a.k LEFT JOIN (SELECT s_nationkey AS k, arg_min(s_acctbal, s_suppkey) AS b FROM supplier GROUP BY 1) b ON k.k = b.k")
+@register("align_frames", "WITH k AS (SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier) SELECT k.k, a.b AS x, b.b AS y FROM k LEFT JOIN (SELECT c_nationkey AS k, arg_min(c_acctbal, c_custkey) AS b FROM customer GROUP BY 1) a ON k.k = a.k LEFT JOIN (SELECT s_nationkey AS k, arg_max(s_acctbal, s_suppkey) AS b FROM supplier GROUP BY 1) b ON k.k = b.k")
 def align_frames(spark, sf_dir):
     a = TideFrame(table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("k"), F.col("c_acctbal").alias("x")), "c_custkey")
     b = TideFrame(table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").alias("k"), F.col("s_acctbal").alias("y")), "s_suppkey")
@@ -397,41 +412,103 @@ def ols_multi(spark, sf_dir):
     return out.select("l_returnflag", F.round(F.col("params")[1], 3).alias("b1"), F.round(F.col("params")[2], 1).alias("b2"))
 
 
-@register("nw_ols")
+def _normal_sql(z: str) -> str:
+    """The normal distribution for z from -6 to 6 by its series; 0 or 1 to nine digits beyond."""
+    series = f"list_sum(list_transform(range(0, 80), lambda k: pow({z}, 2 * k + 1) * pow(2.0, k) * gamma(k + 1) / gamma(2 * k + 2)))"
+    return f"(CASE WHEN {z} > 6 THEN 1.0 WHEN {z} < -6 THEN 0.0 ELSE 0.5 + exp(-({z}) * ({z}) / 2) / sqrt(2 * pi()) * {series} END)"
+
+
+_NW = ", ".join(f"round({x}, 6) + 0.0 AS {n}" for n, x in [("params0", "b0"), ("params1", "b1"), ("tvalues0", "t0"), ("tvalues1", "t1"), ("pvalues0", f"2 * (1 - {_normal_sql('abs(t0)')})"), ("pvalues1", f"2 * (1 - {_normal_sql('abs(t1)')})")])
+
+
+@register("nw_ols", f"""WITH e AS (SELECT user_id, v, y, ts, event_id, count(*) OVER (PARTITION BY user_id) AS total FROM {E_SQL}),
+  c AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM e WHERE v IS NOT NULL AND y IS NOT NULL),
+  s AS (SELECT user_id, count(*) AS n, regr_slope(v, y) AS b1, regr_intercept(v, y) AS b0, sum(y) AS sx, sum(y * y) AS sxx, ceil(4 * pow(max(total) / 100, 2 / 9)) AS lags FROM c GROUP BY 1),
+  r AS (SELECT c.user_id, rn, v - b0 - b1 * y AS e0, y * (v - b0 - b1 * y) AS e1, lags FROM c JOIN s USING (user_id)),
+  m AS (SELECT a.user_id, sum(w * a.e0 * b.e0) AS m00, sum(w * (a.e0 * b.e1 + a.e1 * b.e0) / 2) AS m01, sum(w * a.e1 * b.e1) AS m11 FROM (SELECT a, b, CASE WHEN a.rn = b.rn THEN 1 ELSE 2 * (1 - (a.rn - b.rn) / (a.lags + 1)) END AS w FROM r a JOIN r b ON a.user_id = b.user_id AND a.rn - b.rn BETWEEN 0 AND a.lags) GROUP BY 1),
+  t AS (SELECT user_id, n, b0, b1, m00, m01, m11, sxx / (n * sxx - sx * sx) AS i00, -sx / (n * sxx - sx * sx) AS i01, n / (n * sxx - sx * sx) AS i11 FROM s JOIN m USING (user_id)),
+  u AS (SELECT user_id, n, b0, b1, b0 / sqrt(i00 * i00 * m00 + 2 * i00 * i01 * m01 + i01 * i01 * m11) AS t0, b1 / sqrt(i01 * i01 * m00 + 2 * i01 * i11 * m01 + i11 * i11 * m11) AS t1 FROM t)
+  SELECT user_id, n, {_NW} FROM u""")
 def nw_ols(spark, sf_dir):
     out = linalg.ols_by(events(spark, sf_dir).df, ["user_id"], "v", ["y"], robust=True, order=["ts", "event_id"])
-    return out.select("user_id", "n", *[F.round(F.col(c)[i], 6).alias(f"{c}{i}") for c in ("params", "tvalues", "pvalues") for i in (0, 1)])
+    return out.select("user_id", "n", *[(F.round(F.col(c)[i], 6) + 0.0).alias(f"{c}{i}") for c in ("params", "tvalues", "pvalues") for i in (0, 1)])
+
+
+_SSE = "(regr_syy(v, y){0} - regr_slope(v, y){0} * regr_sxy(v, y){0})"
 
 
-@register("chow_test")
+@register("chow_test", f"""WITH s AS (SELECT event_type, {_SSE.format('')} AS s, {_SSE.format(' FILTER (WHERE event_id % 2 = 0)')} AS s1, {_SSE.format(' FILTER (WHERE event_id % 2 = 1)')} AS s2, count(*) - 4 AS d FROM {E_SQL} WHERE v IS NOT NULL AND y IS NOT NULL GROUP BY 1),
+  f AS (SELECT event_type, d, ((s - s1 - s2) / 2) / ((s1 + s2) / d) AS f FROM s)
+  SELECT event_type, round(f, 6) + 0.0 AS f, round(pow(1 + 2 * f / d, -d / 2), 6) + 0.0 AS p FROM f""")
 def chow_test(spark, sf_dir):
     df = events(spark, sf_dir).df.withColumn("early", F.col("event_id") % 2 == 0)
     return linalg.chow_test(df, ["event_type"], "early", "v", ["y"]).select("event_type", rounded("f"), rounded("p"))
 
 
-@register("matrix_pinv")
+@register("matrix_pinv", f"""WITH c AS (SELECT user_id, event_id, v, y FROM {E_SQL} WHERE v IS NOT NULL AND y IS NOT NULL), s AS (SELECT user_id, count(*) AS n, sum(v * v) AS a, sum(v * y) AS b, sum(y * y) AS d FROM c GROUP BY 1)
+  SELECT user_id, [list(round(CASE WHEN n = 1 THEN v / (a + d) ELSE (d * v - b * y) / (a * d - b * b) END, 8) + 0.0 ORDER BY event_id), list(round(CASE WHEN n = 1 THEN y / (a + d) ELSE (a * y - b * v) / (a * d - b * b) END, 8) + 0.0 ORDER BY event_id)] AS pinv FROM c JOIN s USING (user_id) GROUP BY user_id""")
 def matrix_pinv(spark, sf_dir):
     df = events(spark, sf_dir).df.where("v is not null and y is not null")
-    return linalg.matrix_by(df, ["user_id"], ["v", "y"], ["event_id"], "pinv").select("user_id", F.size("pinv").cast("long").alias("rows"), F.transform("s", lambda x: F.round(x, 8)).alias("s"))
+    return linalg.matrix_by(df, ["user_id"], ["v", "y"], ["event_id"], "pinv").select("user_id", F.transform("pinv", lambda r: F.transform(r, lambda x: F.round(x, 8) + 0.0)).alias("pinv"))
 
 
-@register("distributions")
+# singular values of two columns from the eigenvalues of their products; u s vt gives the matrix back
+@register("matrix_svd", f"""WITH s AS (SELECT user_id, count(*) AS n, sum(v * v) AS a, sum(v * y) AS b, sum(y * y) AS d FROM {E_SQL} WHERE v IS NOT NULL AND y IS NOT NULL GROUP BY 1)
+  SELECT user_id, round(sqrt((a + d + sqrt((a - d) * (a - d) + 4 * b * b)) / 2), 5) + 0.0 AS s0, round(CASE WHEN n > 1 THEN sqrt(greatest(a * d - b * b, 0) / ((a + d + sqrt((a - d) * (a - d) + 4 * b * b)) / 2)) END, 5) + 0.0 AS s1, 0.0 AS off FROM s""")
+def matrix_svd(spark, sf_dir):
+    df = events(spark, sf_dir).df.where("v is not null and y is not null")
+    f = TideFrame(linalg.matrix_by(df, ["user_id"], ["v", "y"], ["event_id"], "svd"), "user_id")
+    scaled = Expr("column", (F.transform("vt", lambda r, i: F.transform(r, lambda x: x * F.get("s", i))),))
+    back = df.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "v", "y"))), lambda r: F.array(r["v"], r["y"])).alias("m"))
+    out = f.with_columns(back=col("u") @ scaled).df.join(back, "user_id")
+    off = F.aggregate(F.zip_with("m", "back", lambda r, q: F.array_max(F.zip_with(r, q, lambda x, z: F.abs(x - z)))), F.lit(0.0), lambda m, x: F.greatest(m, x))
+    return out.select("user_id", F.round(F.get("s", F.lit(0)), 5).alias("s0"), F.round(F.get("s", F.lit(1)), 5).alias("s1"), F.round(off, 6).alias("off"))
+
+
+_BETA = "gamma(1.5) * gamma({0}) / gamma(1.5 + {0})"
+
+
+@register("distributions", f"""WITH e AS (SELECT event_id, (v - 50) / 25 AS z FROM {E_SQL}), x AS (SELECT event_id, z, atan(z / sqrt(5)) AS th, 3 * abs(z) / (3 * abs(z) + 9) AS x FROM e)
+  SELECT event_id, round({_normal_sql('z')}, 8) + 0.0 AS n, round(0.5 + (th + sin(th) * cos(th) * (1 + 2 * cos(th) * cos(th) / 3)) / pi(), 8) + 0.0 AS t,
+  round(2 / pi() * asin(sqrt(x)) - sqrt(x * (1 - x)) * 2 / pi() + {' + '.join(f'pow(x, 1.5) * pow(1 - x, {b}) / ({b} * {_BETA.format(b)})' for b in (0.5, 1.5, 2.5, 3.5))}, 8) + 0.0 AS f FROM x""")
 def distributions_query(spark, sf_dir):
-    df = events(spark, sf_dir).df.select("event_id", ((F.col("v") - 50) / 25).alias("z"))
-    return df.select("event_id", F.round(distributions.norm_cdf(F.col("z")), 8).alias("n"), F.round(distributions.t_cdf(F.col("z"), 5.0), 8).alias("t"), F.round(distributions.f_cdf(F.abs("z"), 3.0, 9.0), 8).alias("f"))
+    z = (v - 50) / 25
+    df = events(spark, sf_dir).select("event_id", n=z.norm_cdf(), t=z.t_cdf(5.0), f=abs(z).f_cdf(3.0, 9.0)).df
+    return df.select("event_id", rounded("n", 8), rounded("t", 8), rounded("f", 8))
+
+
+def _ledger_sql(multiplier: float, leverage: float = 1.0, blowup: bool = False, rolls: bool = False) -> str:
+    """The ledger bar by bar: a step of the recursion takes every symbol's next bar."""
+    roll, spread = ("(event_id % 13 = 0)", "0.01") if rolls else ("false", "0.0")
+    return f"""WITH RECURSIVE b AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn, (event_id % 5 - 2) / 2 AS p, value + 100 AS o, value + 100 + event_id % 7 - 3 AS c, {roll} AS rolled FROM events),
+  w AS (SELECT user_id, 0::BIGINT AS rn, NULL::BIGINT AS event_id, 1e6::DOUBLE AS cash, 0.0::DOUBLE AS p, 0.0::DOUBLE AS lots, NULL::DOUBLE AS last FROM (SELECT DISTINCT user_id FROM events) UNION ALL
+    SELECT user_id, rn, event_id, CASE WHEN dead THEN 0.0 ELSE now - (traded * {multiplier} * o * 3e-4 + traded * {spread} * {multiplier}) + held * (c - o) * {multiplier} END, CASE WHEN dead THEN was ELSE p END, CASE WHEN dead THEN lots ELSE held END, CASE WHEN dead THEN last ELSE c END
+    FROM (SELECT *, CASE WHEN NOT changed THEN 0.0 WHEN rolled THEN 2 * abs(held) ELSE abs(held - lots) END AS traded
+    FROM (SELECT *, CASE WHEN NOT changed THEN lots WHEN p = 0 THEN 0.0 ELSE sign(p) * floor(now * {leverage} * abs(p) / ({multiplier} * o)) END AS held
+    FROM (SELECT b.user_id, b.rn, b.event_id, b.p, b.o, b.c, b.rolled, w.p AS was, w.lots, w.last, w.cash + CASE WHEN w.lots <> 0 AND NOT b.rolled AND w.last IS NOT NULL THEN w.lots * (b.o - w.last) * {multiplier} ELSE 0.0 END AS now, (b.p <> w.p OR b.rolled) AS changed, ({str(blowup).lower()} AND w.cash <= 0) AS dead
+    FROM w JOIN b ON b.user_id = w.user_id AND b.rn = w.rn + 1))))
+  SELECT user_id, event_id, round(cash + 0.0037123457, 2) + 0.0 AS equity FROM w WHERE rn > 0"""
 
 
-@register("calc_ret_single")
+@register("calc_ret_single", _ledger_sql(10.0, 2.0))
 def calc_ret_single(spark, sf_dir):
     df = _bars(spark, sf_dir)
-    return equity.backtest(df, ["user_id"], ["event_id"], "pos", "o", "c", multiplier=10, leverage=2).select("user_id", "event_id", rounded("equity", 4))
+    return equity.backtest(df, ["user_id"], ["event_id"], "pos", "o", "c", multiplier=10, leverage=2).select("user_id", "event_id", _money())
 
 
-@register("calc_ret_spread")
+@register("calc_ret_spread", _ledger_sql(10.0, blowup=True, rolls=True))
 def calc_ret_spread(spark, sf_dir):
-    return equity.backtest(_bars(spark, sf_dir), ["user_id"], ["event_id"], "pos", "o", "c", "roll", "spread", multiplier=10, blowup=True).select("user_id", "event_id", rounded("equity", 4))
+    return equity.backtest(_bars(spark, sf_dir), ["user_id"], ["event_id"], "pos", "o", "c", "roll", "spread", multiplier=10, blowup=True).select("user_id", "event_id", _money())
+
+
+def _money():
+    """Equity to two digits, moved off the halves that sums of short decimals often are."""
+    return (F.round(F.col("equity") + 0.0037123457, 2) + 0.0).alias("equity")
 
 
 def _bars(spark, sf_dir) -> DataFrame:
     e = table(spark, sf_dir, "events")
     return e.select("user_id", "event_id", ((F.col("event_id") % 5 - 2) / 2).alias("pos"), (F.col("value") + 100).alias("o"), (F.col("value") + 100 + F.col("event_id") % 7 - 3).alias("c"), (F.col("event_id") % 13 == 0).cast("double").alias("roll"), F.lit(0.01).alias("spread"))
+
+
+from tideframe.plans import frame_queries  # noqa: E402, F401
