@@ -9,41 +9,85 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tideframe.functions.workers import with_workers  # noqa: F401
 
 #: A word is a run of characters other than these six; Python's bytes.split() splits on exactly them.
 WORD = r"[^\x20\x09-\x0D]+"
-_ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 _OWN: list[str] = []
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+class Seen:
+    """Tells words that came before from new ones, for caches that hold only what recurs: one byte for each hash, and all
+    forgotten when half of them are taken. A false answer costs a place in a cache, no more."""
 
+    SLOTS = 1 << 20
 
-def with_workers(spark: SparkSession) -> None:
-    """Let Python workers import this package from where the driver did (clusters without a shared home use --py-files)."""
-    env = spark.sparkContext.environment
-    paths = [p for p in env.get("PYTHONPATH", os.environ.get("PYTHONPATH", "")).split(os.pathsep) if p]
-    if _ROOT not in paths:
-        env["PYTHONPATH"] = os.pathsep.join([_ROOT, *paths])
+    def __init__(self):
+        self.slots, self.taken = bytearray(self.SLOTS), 0
+
+    def before(self, word) -> bool:
+        at = hash(word) & self.SLOTS - 1
+        if self.slots[at]:
+            return True
+        self.slots[at] = 1
+        self.taken += 1
+        if self.taken > self.SLOTS // 2:
+            self.slots, self.taken = bytearray(self.SLOTS), 0
+        return False
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from spark.checkpoint.dir; where that is unset (tests), one of this process."""
+    """The folder all executors share, from spark.checkpoint.dir; where that is unset, one of this process, on local masters only."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
         return path.rstrip("/")
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not _OWN:
         _OWN.append(f"/tmp/checkpoints/{os.getpid()}-{uuid.uuid4().hex[:8]}")
         atexit.register(shutil.rmtree, _OWN[0], ignore_errors=True)
     return f"file://{_OWN[0]}"
 
 
+def _hadoop(spark: SparkSession, path: str):
+    """The Hadoop file system of a path, and the path."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def temporary(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, removed when the driver ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    fs, at = _hadoop(spark, path)
+    fs.deleteOnExit(at)
+    return path
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, at = _hadoop(spark, path)
+    return fs.exists(at)
+
+
 def settle(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a Parquet table in the shared folder and read it back: cuts lineage, survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    """Write df as a Parquet table in the shared folder and read it back: cuts lineage, survives lost executors. The table
+    goes when the driver ends, or by drop()."""
+    path = temporary(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.settled_at = path
+    return out
+
+
+def drop(settled: DataFrame) -> None:
+    """Remove a settled table that no later plan reads."""
+    fs, at = _hadoop(settled.sparkSession, settled.settled_at)
+    fs.delete(at, True)
 
 
 def text_or_empty(column: str = "text") -> Column:
@@ -58,10 +102,20 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-#: Rows of keys or findings that may be sent to every worker.
-SMALL_ROWS = 500_000
+#: Rows, and bytes, of keys or findings that may be sent to every worker.
+SMALL_ROWS, SMALL_BYTES = 500_000, 32 << 20
+
+
+def _bytes(field: T.StructField) -> Column:
+    """About the bytes of a value, whatever its length."""
+    if isinstance(field.dataType, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(field.name), F.lit(0)) + 16
+    if isinstance(field.dataType, T.ArrayType):
+        return F.octet_length(F.to_json(F.struct(field.name)))
+    return F.lit(8)
 
 
-def small_or_not(settled: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
-    """settled, marked for a broadcast join only if it is counted to have few rows; else joins shuffle it."""
-    return F.broadcast(settled) if settled.count() <= rows else settled
+def small_or_not(settled: DataFrame, rows: int = SMALL_ROWS, size: int = SMALL_BYTES) -> DataFrame:
+    """settled, marked for a broadcast join only if it is found to have few rows and bytes; else joins shuffle it."""
+    n, total = settled.agg(F.count(F.lit(1)), F.sum(sum((_bytes(f) for f in settled.schema), F.lit(0)))).first()
+    return F.broadcast(settled) if n <= rows and (total or 0) <= size else settled

@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from tideframe.llm import common, shingles
 from tideframe.llm.components import components
+from tideframe.llm.shingles import packed, slices, unpacked
 
 BANDS, ROWS = 24, 3
 REGISTERS = BANDS * ROWS
@@ -39,8 +40,6 @@ BASE, RATE, Q = 1.001, 20.0, (1 << 16) - 2
 PERCENT = 75
 #: A pair is dropped unverified only if its likelihood at the threshold is below the best by this many nats.
 NATS = 14.0
-#: Keys that may be broadcast to pick rows out of the documents; beyond it a shuffle join does the same.
-BROADCAST_KEYS = 500_000
 
 
 @lru_cache(1)
@@ -80,20 +79,13 @@ def may_link(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, perce
     return (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)) & (np.maximum(log_likelihood(at, more, less, u), np.where(grid * top >= at, best, -np.inf).max(0)) >= above - NATS)
 
 
-def slices(batches, rows: int):
-    """The batches in parts of at most rows rows."""
-    for batch in batches:
-        for start in range(0, batch.num_rows, rows):
-            yield batch.slice(start, rows)
-
-
 def sketches(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_shingles, sig, sketch) of every row; sig names the set, and both it and the sketch are null for an empty set."""
     common.with_workers(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches):
-        for part in slices(batches, 256):
+        for part in slices(batches, 256, 1):
             sets = [shingles.shingle_set(t) for t in part.column(1).to_pylist()]
             full = [s for s in sets if len(s)]
             rows = iter(sketch(np.concatenate(full), np.cumsum([0, *[len(s) for s in full[:-1]]])) if full else ())
@@ -127,7 +119,7 @@ def _estimated(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 
 def _verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """Of pairs (a, b) of keys of docs (key, text), those whose full sets are similar enough."""
-    texts = _texts(docs, pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct())
+    texts = common.settle(packed(_texts(docs, pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct())), "packed-texts")
     kind = docs.schema["key"].dataType.simpleString()
 
     def run(batches):
@@ -137,8 +129,8 @@ def _verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
             keep = []
             for x, y, z in zip(a, ta, tb, strict=True):
                 if (x, y) != last:
-                    last, first = (x, y), shingles.shingle_set(y)
-                other = shingles.shingle_set(z)
+                    last, first = (x, y), shingles.shingle_set(unpacked(y))
+                other = shingles.shingle_set(unpacked(z))
                 both = np.concatenate([first, other])
                 both.sort()
                 common_n = int((both[1:] == both[:-1]).sum())
@@ -152,9 +144,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
 
 def _texts(docs: DataFrame, keys: DataFrame) -> DataFrame:
     """The rows of docs (key, text) with one of keys; keys go to every worker only if they are few."""
-    keys = common.settle(keys, "keys")
-    few = keys.count() <= BROADCAST_KEYS
-    return common.settle(docs.join(F.broadcast(keys) if few else keys, "key", "left_semi"), "texts")
+    return docs.join(common.small_or_not(common.settle(keys, "keys")), "key", "left_semi")
 
 
 def _prefix_pairs(docs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
@@ -163,7 +153,7 @@ def _prefix_pairs(docs: DataFrame, members: DataFrame, percent: int) -> DataFram
     kind = docs.schema["key"].dataType.simpleString()
 
     def run(batches):
-        for part in slices(batches, 256):
+        for part in slices(batches, 256, 1):
             sets = [shingles.shingle_set(t) for t in part.column(1).to_pylist()]
             tokens = np.concatenate([np.empty(0, np.uint64), *sets]).view(np.int64)
             rows = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
@@ -172,7 +162,8 @@ def _prefix_pairs(docs: DataFrame, members: DataFrame, percent: int) -> DataFram
 
     texts = _texts(docs, members.select(F.col("rep").alias("key")))
     tokens = common.settle(texts.select("key", "text").mapInArrow(run, f"rep {kind}, set long, token long").distinct(), "tokens")  # a key may have several sets
-    often = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+    # written before it is joined, here and below: a join of two plain shuffles can split a hot key, one of an aggregate cannot
+    often = common.settle(tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "shared-dfs")
     shared = common.settle(tokens.join(often, "token"), "shared-tokens")
     # a set's prefix: its size less the least overlap of a link, plus one; tokens of no other document come first
     size = tokens.groupBy("rep", "set").agg(F.count("*").alias("n"))
