@@ -1,8 +1,9 @@
 """Secret scans over an incremental blob ledger, with DataFrame functions alone.
 
-Each historical version of a path is addressed by the sha256 of its text (its blob). The ledger records which rule
-versions have been run on which blob and what they found, so a scan takes each distinct blob once, runs only the rule
-versions the ledger lacks for it, appends one row per blob, and joins findings back to every path that holds the blob.
+Each historical version of a path is addressed by the sha256 of its text (its blob). The ledger, a Parquet table that
+update() appends to, records which rule versions have been run on which blob and what they found, so a scan takes each
+distinct blob once, runs only the rule versions the ledger lacks for it, appends one row per blob, and joins findings back
+to every path that holds the blob, with the commit, time or whatever other columns name its version.
 
 Spans are found with two regular expression passes: the pieces between matches (split) and the matches themselves
 (regexp_extract_all) come in the same order, so running sums of their lengths are the places, in code points.
@@ -68,14 +69,14 @@ def rule_spans(text: Column, rule: Rule, kind: int) -> Column:
     return F.when(text.rlike(rule.pattern), F.aggregate(steps, start, step, lambda acc: acc["out"])).otherwise(F.array().cast(SPANS))
 
 
-def versions(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(path, blob, text) of every row."""
-    own = docs.select(F.col(key).alias("path"), common.text_or_empty(text).alias("text"))
-    return own.select("path", F.sha2("text", 256).alias("blob"), "text")
+def versions(docs: DataFrame, key: str = "doc_id", text: str = "text", also: tuple[str, ...] = ()) -> DataFrame:
+    """(path, *also, blob, text) of every row; also names columns that tell the versions of a path apart."""
+    own = docs.select(F.col(key).alias("path"), *also, common.text_or_empty(text).alias("text"))
+    return own.select("path", *also, F.sha2("text", 256).alias("blob"), "text")
 
 
-def scan(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Ledger rows (blob, rules array<string>, spans) for the pairs of blob and rule version that ledger lacks, settled in the shared folder."""
+def unseen(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Ledger rows (blob, rules array<string>, spans) for the pairs of blob and rule version that ledger lacks."""
     blobs = versions(docs, key, text).groupBy("blob").agg(F.first("text").alias("text"))
     if ledger is not None:
         known = ledger.groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("rules"))).alias("known"))
@@ -83,15 +84,32 @@ def scan(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ..
     known = F.coalesce(F.col("known"), F.array().cast("array<string>")) if ledger is not None else F.array().cast("array<string>")
     todo = F.array_except(F.array(*[F.lit(r.id) for r in rules]), known)
     found = [F.when(F.array_contains(known, r.id), F.array().cast(SPANS)).otherwise(rule_spans(F.col("text"), r, k)) for k, r in enumerate(rules)]
-    return common.settle(blobs.where(F.size(todo) > 0).select("blob", todo.alias("rules"), F.concat(*found).alias("spans")), "blob-ledger")
+    return blobs.where(F.size(todo) > 0).select("blob", todo.alias("rules"), F.concat(*found).alias("spans"))
+
+
+def scan(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows that ledger lacks, settled in the shared folder."""
+    return common.settle(unseen(docs, ledger, rules, key, text), "blob-ledger")
+
+
+def open_ledger(spark: SparkSession, path: str) -> DataFrame | None:
+    """The ledger table at path; None where there is none yet."""
+    return spark.read.schema(f"blob string, rules array<string>, spans {SPANS}").parquet(path) if common.exists(spark, path) else None
+
+
+def update(docs: DataFrame, path: str, rules: tuple[Rule, ...] = RULES, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Append to the ledger table at path what it lacks for docs, and return the table. A run that fails appends nothing."""
+    spark = docs.sparkSession
+    unseen(docs, open_ledger(spark, path), rules, key, text).write.mode("append").parquet(path)
+    return open_ledger(spark, path)
 
 
-def findings(docs: DataFrame, ledger: DataFrame, key: str = "doc_id", text: str = "text", once: bool = False) -> DataFrame:
-    """(path, blob, spans) of every row that has findings. once: ledger has at most one row per blob."""
+def findings(docs: DataFrame, ledger: DataFrame, key: str = "doc_id", text: str = "text", once: bool = False, also: tuple[str, ...] = ()) -> DataFrame:
+    """(path, *also, blob, spans) of every row, spans empty where nothing is found. once: ledger has at most one row per blob."""
     found = ledger.where(F.size("spans") > 0).select("blob", "spans")
     if not once:
         found = found.groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"))
-    return versions(docs, key, text).select("path", "blob").join(found, "blob", "left").select("path", "blob", F.array_sort(F.coalesce("spans", F.array().cast(SPANS))).alias("spans"))
+    return versions(docs, key, text, also).select("path", *also, "blob").join(found, "blob", "left").select("path", *also, "blob", F.array_sort(F.coalesce("spans", F.array().cast(SPANS))).alias("spans"))
 
 
 def spelled(spans: Column, rules: tuple[Rule, ...] = RULES) -> Column:
@@ -125,7 +143,7 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text")
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, base digest and all spans of every document."""
     docs = common.table(spark, sf_dir, "documents")
-    rows = findings(docs, scan(docs), once=True)
+    rows = findings(docs, update(docs, common.temporary(spark, "blob-ledger")), once=True)
 
     def count(kind: int) -> Column:
         return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
