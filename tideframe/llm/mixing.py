@@ -37,23 +37,35 @@ def sizes(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str
     return docs.select(F.col(key).alias("key"), F.col(source).alias("source"), F.regexp_count(common.text_or_empty(text), F.lit(common.WORD)).cast("long").alias("size"))
 
 
+def numbered(own: DataFrame) -> DataFrame:
+    """own (one row a source) with the place of each source, from 0, by code point, null last. Sources are dealt into ranges
+    once, in a table, and only the ranges' counts are gathered, so many sources are no task of their own."""
+    ranges = common.settle(own.repartitionByRange(F.col("source").asc_nulls_last()).withColumn("part", F.spark_partition_id()), "sources")
+    counts = ranges.groupBy("part").agg(F.count(F.lit(1)).alias("n"))  # a row for each partition
+    before = counts.select(F.col("part").alias("of"), F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    place = F.row_number().over(Window.partitionBy("part").orderBy(F.col("source").asc_nulls_last())) - 1
+    return ranges.withColumn("place", place).join(F.broadcast(before), F.col("part") == F.col("of")).withColumn("place", F.col("place") + F.col("before")).drop("part", "of", "before")
+
+
 def targets(cells: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
     """(source, source_size, largest, target) from cells (source, size, n).
 
-    Targets share all words by weight, at most cap times a source's own: they are min(cap * own, level * weight), and the
-    level follows from sorting sources by the level at which they reach their cap. One row per source.
+    Targets share all words by weight, at most cap times a source's own: they are min(cap * own, level * weight). What
+    sources above their cap leave is shared again among the others, which raises the level, until no more of them are.
     """
-    own = cells.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.max("size").alias("largest"))
-    place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    own = own.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (place % len(weights) + 1).cast("int")))
-    own = own.withColumn("most", cap * F.col("source_size").cast("double")).withColumn("full_at", F.col("most") / F.col("weight"))
-    upto = Window.orderBy("full_at", F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
-    every = Window.partitionBy().orderBy("full_at").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    # level if all sources before this one, in order of full_at, are at their cap and this one is not
-    before_most, before_weight = F.coalesce(F.sum("most").over(upto), F.lit(0.0)), F.coalesce(F.sum("weight").over(upto), F.lit(0.0))
-    own = own.withColumn("level", (F.sum("source_size").over(every).cast("double") - before_most) / (F.sum("weight").over(every) - before_weight))
-    own = own.withColumn("level", F.max(F.when(F.col("level") <= F.col("full_at"), F.col("level"))).over(every))
-    return own.select("source", "source_size", "largest", F.least("most", F.coalesce("level", F.lit(0.0)) * F.col("weight")).alias("target"))
+    own = numbered(cells.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.max("size").alias("largest")))
+    own = own.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("place") % len(weights) + 1).cast("int")))
+    own = common.settle(own.withColumn("most", cap * F.col("source_size").cast("double")).drop("place"), "weights")
+    total, level = None, None
+    while True:
+        full = F.lit(False) if level is None else F.col("most") < level * F.col("weight")
+        row = own.agg(F.sum(F.col("source_size").cast("double")), F.sum(F.when(full, F.col("most")).otherwise(0.0)), F.sum(F.when(full, 0.0).otherwise(F.col("weight")))).first()
+        total, taken, open_ = (v or 0.0 for v in row)
+        now = (total - taken) / open_ if open_ else level or 0.0
+        if level is not None and now <= level:
+            break
+        level = now
+    return own.select("source", "source_size", "largest", F.least("most", F.lit(level) * F.col("weight")).alias("target"))
 
 
 def rate(multiplier: Column, size: Column, scale: Column, cap: int = CAP) -> Column:
