@@ -1,9 +1,10 @@
 """Quality rules as a short-circuit cascade.
 
-Base statistics are computed for every document, as they are returned for all. The verdict of the method comes from a
-cascade of rules: each rule's cost (seconds a document) and rejection rate are measured on a bounded sample, the rules
-are sorted by rejections per second, and a document runs through them in that order until one rejects it. The order
-changes only how soon a document leaves, never whether it is kept, so results do not depend on the measured times.
+A cascade of rules gives the verdict: each rule's cost (seconds a document) and rejection rate are measured on a bounded
+sample of the whole table, the rules are sorted by rejections per second, and a document runs through them in that order
+until one rejects it. The order changes only how soon a document leaves, never whether it is kept, so results do not
+depend on the measured times. keep_good() filters by it; apply_rules() also returns base statistics of every document,
+which its rules then read instead of computing them again.
 
 Defined results: null and empty texts have no words, so the base rule rejects them; repeated rows are judged each; ties in
 a rule's figures keep the listed order; other columns are ignored; an empty table gives an empty result.
@@ -26,20 +27,19 @@ SAMPLE_ROWS = 512
 
 
 class Document:
-    """One text with what several rules ask for, computed once when first asked."""
+    """One text with what several rules ask for, computed once when first asked: document[name of a figure]."""
 
     def __init__(self, text: str | None):
         self.text = text or ""
         self.data = self.text.encode()
         self.words = self.data.split()
         self.n_words = len(self.words)
-        self._distinct = None
+        self.known: dict[str, int] = {"n_words": self.n_words}
 
-    @property
-    def distinct(self) -> int:
-        if self._distinct is None:
-            self._distinct = len(set(self.words))
-        return self._distinct
+    def __getitem__(self, name: str) -> int:
+        if name not in self.known:
+            self.known[name] = FIGURES[name](self)
+        return self.known[name]
 
 
 def word_chars(d: Document) -> int:
@@ -83,20 +83,25 @@ def base_failed(n_words: int, n_repeat: int) -> bool:
     return n_words < 10 or 100 * n_repeat > 20 * n_words
 
 
+FIGURES = {"word_chars": word_chars, "n_symbols": n_symbols, "n_dup_lines": n_dup_lines, "n_repeat_words": n_repeat_words, "n_distinct": lambda d: len(set(d.words)), "n_lines": lambda d: d.data.count(b"\n") + 1}
+#: The figures that apply_rules() returns for every document.
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: The cascade's rules: name -> whether a document is rejected. Integer arithmetic, so that any engine agrees.
 RULES = {
-    "mean_word_length": lambda d: not 2 * d.n_words <= word_chars(d) <= 20 * d.n_words,
-    "symbol_ratio": lambda d: 10 * n_symbols(d) > 3 * d.n_words,
-    "duplicate_lines": lambda d: 10 * n_dup_lines(d) > 3 * (d.data.count(b"\n") + 1),
-    "few_distinct_words": lambda d: d.n_words >= 50 and 20 * d.distinct < d.n_words and d.distinct < 50,
+    "mean_word_length": lambda d: not 2 * d.n_words <= d["word_chars"] <= 20 * d.n_words,
+    "symbol_ratio": lambda d: 10 * d["n_symbols"] > 3 * d.n_words,
+    "duplicate_lines": lambda d: 10 * d["n_dup_lines"] > 3 * d["n_lines"],
+    "few_distinct_words": lambda d: d.n_words >= 50 and d["n_distinct"] < 50 and 20 * d["n_distinct"] < d.n_words,
 }
+#: The base rule in two, for a cascade that returns no figures and so takes costly ones only where all else passes.
+BASE_RULES = {"few_words": lambda d: d.n_words < 10, "repeated_words": lambda d: 100 * d["n_repeat_words"] > 20 * d.n_words}
 
 
-def measure(docs: DataFrame, rules: dict = RULES, text: str = "text", rows: int = SAMPLE_ROWS) -> list[tuple[str, float, float]]:
-    """(rule, seconds a document, share rejected) on a sample of at most rows rows.
+def measure(docs: DataFrame, rules: dict = RULES, key: str = "doc_id", text: str = "text", rows: int = SAMPLE_ROWS, owed: tuple = ()) -> list[tuple[str, float, float]]:
+    """(rule, seconds a document, share rejected) on a sample of at most rows rows, taken by the hash of the key from all
+    of docs. owed: figures that each document has in any case, so that rules which read them cost no more than that.
 
-    Texts are judged where they are; the driver takes the first figures that come, a few numbers a row, so that no more
-    partitions are read than the sample needs.
+    Texts are judged where they are; the driver takes a few numbers a row of the sample.
     """
     common.with_workers(docs.sparkSession)
 
@@ -105,14 +110,19 @@ def measure(docs: DataFrame, rules: dict = RULES, text: str = "text", rows: int
             for start in range(0, batch.num_rows, 64):
                 out = []
                 for t in batch.column(0).slice(start, 64).to_pylist():
+                    figures = Document(t)
+                    known = {c: figures[c] for c in owed}
                     for name, rejects in rules.items():
                         d = Document(t)
+                        d.known |= known
                         began = time.perf_counter()
                         bad = bool(rejects(d))
                         out.append((name, time.perf_counter() - began, bad))
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names=["rule", "s", "bad"])
 
-    found = docs.select(F.col(text).cast("string")).mapInArrow(run, "rule string, s double, bad boolean").limit(rows * len(rules)).collect()
+    part = max(1, docs.count() // rows)
+    some = docs.where(F.pmod(F.xxhash64(key), F.lit(part)) == 0).select(F.col(text).cast("string"))
+    found = some.mapInArrow(run, "rule string, s double, bad boolean").limit(rows * len(rules)).collect()
     figures = []
     for name in rules:
         own = [r for r in found if r.rule == name]
@@ -129,24 +139,41 @@ def order(figures: list[tuple[str, float, float]], rules: dict = RULES) -> list[
 def apply_rules(docs: DataFrame, rules: dict = RULES, ordered: list[str] | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: key, base statistics, base_failed and kept. A map over the input, without a shuffle."""
     common.with_workers(docs.sparkSession)
-    names = ordered if ordered is not None else order(measure(docs, rules, text), rules)
+    names = ordered if ordered is not None else order(measure(docs, rules, key, text, owed=COUNTS), rules)
     cascade = [rules[r] for r in names]
     kind = docs.schema[key].dataType.simpleString()
-    counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
     def run(batches):
         for batch in batches:
             rows = []
             for t in batch.column(1).to_pylist():
                 d = Document(t)
-                base = (d.n_words, word_chars(d), n_symbols(d), n_dup_lines(d), n_repeat_words(d))
-                failed = base_failed(base[0], base[4])
-                rows.append((*base, failed, not failed and not any(rejects(d) for rejects in cascade)))
+                failed = base_failed(d.n_words, d["n_repeat_words"])
+                rows.append((*[d[c] for c in COUNTS], failed, not failed and not any(rejects(d) for rejects in cascade)))
             cols = list(zip(*rows, strict=True)) or [()] * 7
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, pa.int64()) for c in cols[:5]], *[pa.array(c, pa.bool_()) for c in cols[5:]]], names=["key", *counts, "base_failed", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, pa.int64()) for c in cols[:5]], *[pa.array(c, pa.bool_()) for c in cols[5:]]], names=["key", *COUNTS, "base_failed", "kept"])
 
     rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"key {kind}, " + ", ".join(f"{c} long" for c in counts) + ", base_failed boolean, kept boolean").withColumnRenamed("key", key)
+    return rows.mapInArrow(run, f"key {kind}, " + ", ".join(f"{c} long" for c in COUNTS) + ", base_failed boolean, kept boolean").withColumnRenamed("key", key)
+
+
+def keep_good(docs: DataFrame, rules: dict | None = None, ordered: list[str] | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of docs that no rule rejects, all columns as they are: a document leaves at its first rule, and a figure is
+    computed only if a rule that is reached asks for it."""
+    common.with_workers(docs.sparkSession)
+    rules = BASE_RULES | RULES if rules is None else rules
+    cascade = [rules[r] for r in (order(measure(docs, rules, key, text), rules) if ordered is None else ordered)]
+    place = docs.columns.index(text)
+
+    def run(batches):
+        for batch in batches:
+            good = []
+            for t in batch.column(place).to_pylist():
+                d = Document(t)
+                good.append(not any(rejects(d) for rejects in cascade))
+            yield batch.filter(pa.array(good, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
