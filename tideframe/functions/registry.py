@@ -5,6 +5,7 @@ from __future__ import annotations
 import warnings
 from dataclasses import dataclass, field
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,7 +32,7 @@ class Scope:
 
     mode "rows": over the whole partition; "frame": over the given window; "group": inside groupBy().agg().
     Window specs are made once for each scope, so that operations over one frame share a single Window node. df is the
-    frame's DataFrame: without a partition, an aggregate over all of it is a scalar subquery, not a window in one task.
+    frame's DataFrame, base the same without helpers: without a partition, an aggregate over all of it is a scalar subquery, not a window in one task.
     helpers names the columns that PREPARED operations have added, by the operation's text.
     """
 
@@ -41,6 +42,7 @@ class Scope:
     frame: WindowSpec | None = None
     specs: dict = field(default_factory=dict, compare=False)
     df: DataFrame | None = field(default=None, compare=False)
+    base: DataFrame | None = field(default=None, compare=False)
     helpers: dict = field(default_factory=dict, compare=False)
 
     def _base(self) -> WindowSpec:
@@ -86,7 +88,10 @@ class Scope:
         if self.mode == "group":
             return c
         if self.mode == "rows" and not self.part and self.df is not None:
-            return self.df.agg(c).scalar()
+            try:
+                return (self.base or self.df).agg(c).scalar()
+            except AnalysisException:  # of a helper's column
+                return self.df.agg(c).scalar()
         return c.over(self.frame if self.mode == "frame" else self.whole)
 
     @property

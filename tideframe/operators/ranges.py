@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Ranges that rows are dealt into at most.
-RANGES = 128
+RANGES = 64
 
 
 def _axis(df: DataFrame, c: Column) -> Column | None:
@@ -24,21 +24,27 @@ def _axis(df: DataFrame, c: Column) -> Column | None:
     return F.unix_date(c).cast("double") if isinstance(kind, T.DateType) else None
 
 
-def range_of(df: DataFrame, c: Column) -> Column:
-    """The number of the range of c, ascending; -1 for missing values, and 0 for all of a type that is no number."""
+def split_points(df: DataFrame, c: Column) -> list[float]:
+    """Numbers that part the values of c into ranges of about equal rows; none for types without an axis."""
     axis = _axis(df, c)
     if axis is None:
-        return F.when(c.isNull(), -1).otherwise(0)
-    points = df.agg(F.percentile_approx(axis, [k / RANGES for k in range(1, RANGES)], 2000)).first()[0]
-    points = sorted(set(points or []))
+        return []
+    return sorted(set(df.agg(F.percentile_approx(axis, [k / RANGES for k in range(1, RANGES)], 2000)).first()[0] or []))
+
+
+def dealt(df: DataFrame, c: Column, points: list[float]) -> DataFrame:
+    """df with the number of the range of c in __p, ascending; missing values last."""
 
     def among(lo: int, hi: int) -> Column:
         if lo == hi:
             return F.lit(lo)
         mid = (lo + hi) // 2
-        return F.when(axis < points[mid], among(lo, mid)).otherwise(among(mid + 1, hi))
+        return F.when(F.col("__axis") < points[mid], among(lo, mid)).otherwise(among(mid + 1, hi))
 
-    return F.when(c.isNull(), -1).otherwise(among(0, len(points)))
+    axis = _axis(df, c)
+    # a column of its own, as the tree of comparisons names it once for each point
+    marked = df.withColumn("__axis", F.when(c.isNull(), None).otherwise(F.lit(0.0) if axis is None else axis))
+    return marked.withColumn("__p", F.when(F.col("__axis").isNull(), RANGES + 1).otherwise(among(0, len(points)))).drop("__axis")
 
 
 def _before(counts: DataFrame, part: str, n: str) -> DataFrame:
@@ -48,34 +54,34 @@ def _before(counts: DataFrame, part: str, n: str) -> DataFrame:
     return totals.select(F.col(part).alias("__q"), F.coalesce(running, F.lit(0)).alias("__b"))
 
 
-def distributed_rank(df: DataFrame, by: str, name: str, rev: bool = False) -> DataFrame:
+def distributed_rank(df: DataFrame, by: str, name: str, rev: bool = False, base: DataFrame | None = None) -> DataFrame:
     """df with the tie-averaged rank of by over all rows; NULL for missing values, which are not ranked.
 
-    Distinct values are counted first, so a value that many rows hold is one row of what is ranked.
+    Distinct values are counted first, so a value that many rows hold is one row of what is ranked. base has the same rows
+    of by as df, and a shorter plan.
     """
-    counts = df.where(F.col(by).isNotNull()).groupBy(by).agg(F.count(F.lit(1)).alias("__c"))
+    counts = (df if base is None else base).where(F.col(by).isNotNull()).groupBy(by).agg(F.count(F.lit(1)).alias("__c"))
     ranks = ranked_counts(counts, by, name, rev).select(F.col(by).alias("__v"), name)
     return df.join(ranks, df[by] == ranks["__v"], "left").drop("__v")
 
 
 def ranked_counts(counts: DataFrame, by: str, name: str, rev: bool = False) -> DataFrame:
     """counts (by, __c) of distinct values with the tie-averaged rank that each has among all counted rows."""
-    dealt = counts.withColumn("__p", range_of(counts, F.col(by)))
+    parted = dealt(counts, F.col(by), split_points(counts, F.col(by)))
     within = F.sum("__c").over(Window.partitionBy("__p").orderBy(by).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    out = dealt.withColumn("__u", within).join(F.broadcast(_before(dealt, "__p", "__c")), F.col("__p") == F.col("__q"))
+    out = parted.withColumn("__u", within).join(F.broadcast(_before(parted, "__p", "__c")), F.col("__p") == F.col("__q"))
     rank = F.col("__b") + F.col("__u") - (F.col("__c") - 1) / 2
     if rev:
         rank = counts.agg(F.sum("__c")).scalar() + 1 - rank
     return out.withColumn(name, rank).drop("__p", "__q", "__b", "__u")
 
 
-def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
-    """df with each row's place from 0 in the order; dealt into ranges by the first column."""
-    first = order[0]
-    dealt = df.withColumn("__p", range_of(df, first))
-    dealt = dealt.withColumn("__p", F.when(F.col("__p") < 0, RANGES + 1).otherwise(F.col("__p")))  # missing values last
-    keys = [first.asc_nulls_last(), *order[1:]]
-    within = F.row_number().over(Window.partitionBy("__p").orderBy(*keys))
-    before = _before(dealt.groupBy("__p").agg(F.count(F.lit(1)).alias("__n")), "__p", "__n")
-    out = dealt.withColumn("__u", within).join(F.broadcast(before), F.col("__p") == F.col("__q"))
+def numbered(df: DataFrame, order: list[Column], name: str, base: DataFrame | None = None) -> DataFrame:
+    """df with each row's place from 0 in the order; dealt into ranges by the first column. base as in distributed_rank."""
+    first, base = order[0], df if base is None else base
+    points = split_points(base, first)
+    parted = dealt(df, first, points)
+    within = F.row_number().over(Window.partitionBy("__p").orderBy(first.asc_nulls_last(), *order[1:]))
+    before = _before(dealt(base.select(first.alias("__first")), F.col("__first"), points).groupBy("__p").agg(F.count(F.lit(1)).alias("__n")), "__p", "__n")
+    out = parted.withColumn("__u", within).join(F.broadcast(before), F.col("__p") == F.col("__q"))
     return out.withColumn(name, (F.col("__b") + F.col("__u") - 1).cast("long")).drop("__p", "__q", "__b", "__u")

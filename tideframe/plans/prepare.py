@@ -27,40 +27,40 @@ def _in_group(s: Scope) -> Scope:
     return Scope(s.part, s.order, "rows")
 
 
-def _placed(df: DataFrame, s: Scope, args: list, name: str) -> DataFrame:
+def _placed(df: DataFrame, base: DataFrame, s: Scope, args: list, name: str) -> DataFrame:
     s.need_order()
     if s.part:
         return df.withColumn(name, (F.row_number().over(_in_group(s).ordered) - 1).cast("long"))
-    return numbered(df, [F.col(o) if isinstance(o, str) else o for o in s.order], name)
+    return numbered(df, [F.col(o) if isinstance(o, str) else o for o in s.order], name, base)
 
 
-def _rank_of(df: DataFrame, s: Scope, x: Column, name: str, rev: bool = False) -> DataFrame:
+def _rank_of(df: DataFrame, base: DataFrame, s: Scope, x: Column, name: str, rev: bool = False) -> DataFrame:
     if s.part:
         return df.withColumn(name, aggregates.average_rank(_in_group(s), x, rev))
-    return distributed_rank(df.withColumn("__x", x), "__x", name, rev).drop("__x")
+    return distributed_rank(df.withColumn("__x", x), "__x", name, rev, base.select(x.alias("__x"))).drop("__x")
 
 
-def _ranked(df: DataFrame, s: Scope, args: list, name: str, rev: bool = False, **kw) -> DataFrame:
-    return _rank_of(df, s, args[0], name, rev)
+def _ranked(df: DataFrame, base: DataFrame, s: Scope, args: list, name: str, rev: bool = False, **kw) -> DataFrame:
+    return _rank_of(df, base, s, args[0], name, rev)
 
 
-def _both_ranked(df: DataFrame, s: Scope, args: list, name: str, **kw) -> DataFrame:
+def _both_ranked(df: DataFrame, base: DataFrame, s: Scope, args: list, name: str, **kw) -> DataFrame:
     x, y = aggregates.paired(*args[:2])
-    return _rank_of(_rank_of(df, s, x, name), s, y, name + "_y")
+    return _rank_of(_rank_of(df, base, s, x, name), base, s, y, name + "_y")
 
 
-def _sorted(df: DataFrame, s: Scope, args: list, name: str, rev: bool = False) -> DataFrame:
+def _sorted(df: DataFrame, base: DataFrame, s: Scope, args: list, name: str, rev: bool = False) -> DataFrame:
     s.need_order()
     x = -args[0].cast("double") if rev else args[0]
-    return numbered(df, [x, *[F.col(o) if isinstance(o, str) else o for o in s.order]], name)
+    return numbered(df, [x, *[F.col(o) if isinstance(o, str) else o for o in s.order]], name, base)
 
 
-def _counted(df: DataFrame, s: Scope, args: list, name: str, *_, **kw) -> DataFrame:
+def _counted(df: DataFrame, base: DataFrame, s: Scope, args: list, name: str, *_, **kw) -> DataFrame:
     x = args[0]
     if s.part:
         w = _in_group(s)
         return df.withColumn(name, F.row_number().over(w.by(x.asc_nulls_last()))).withColumn(name + "_n", F.count(x).over(w.whole))
-    return numbered(df, [x], name).withColumn(name, F.col(name) + 1).withColumn(name + "_n", df.agg(F.count(x)).scalar())
+    return numbered(df, [x], name, base).withColumn(name, F.col(name) + 1).withColumn(name + "_n", base.agg(F.count(x)).scalar())
 
 
 def _method(args: tuple, kw: dict) -> str:
@@ -102,7 +102,8 @@ def nodes(e):
 
 def prepared(df: DataFrame, s: Scope, exprs: list) -> Scope:
     """The scope in which exprs can be lowered over its df, which has what they need beside the columns of df."""
-    s = replace(s, df=df, helpers={})
+    s = replace(s, df=df, base=df, helpers={})
+    base = df  # its rows are those of the frame however many columns come to it
     levels: dict[str, set] = {}
     for e in exprs:
         for node in nodes(e):
@@ -113,7 +114,8 @@ def prepared(df: DataFrame, s: Scope, exprs: list) -> Scope:
                 name = f"__{node.kind}_{crc32(text.encode()):08x}"
                 args = [a.lower(s) if hasattr(a, "lower") and hasattr(a, "kind") else a for a in node.args]
                 kw = {k: v for k, v in node.kw.items() if k in ("rev",)}
-                s = replace(s, df=PREPARED[node.kind][1](s.df, s, args, name, **kw))
+                inner = any(repr(n) in s.helpers for a in node.args if isinstance(a, type(node)) for n in nodes(a))
+                s = replace(s, df=PREPARED[node.kind][1](s.df, s.df if inner else base, s, args, name, **kw))
                 s.helpers[text] = name
     s.specs["levels"] = {x: tuple(sorted(v)) for x, v in levels.items()}
     return s
