@@ -38,3 +38,18 @@ def test_query_against_tiktoken(spark, tmp_path):
 
 def test_empty_table(spark):
     assert bpe.encode(spark.createDataFrame([], "doc_id long, text string"), decoded=True).count() == 0
+
+
+def test_null_keys_and_repeated_rows(spark):
+    docs = spark.createDataFrame([(None, "one text"), (7, "one text"), (7, "one text"), (7, "other")], "doc_id long, text string")
+    rows = bpe.encode(docs).collect()
+    enc = own()
+    assert sorted(((r.doc_id or 0), r.ids) for r in rows) == sorted([(0, enc.encode_ordinary("one text")), (7, enc.encode_ordinary("one text")), (7, enc.encode_ordinary("one text")), (7, enc.encode_ordinary("other"))])
+
+
+def test_cache_keeps_only_what_recurs():
+    c = bpe.Codec()
+    for _ in range(2):
+        assert c.encode("alpha beta") == c.encode("alpha beta")
+    c.encode("once")
+    assert "once" not in c.cache and "alpha" in c.cache

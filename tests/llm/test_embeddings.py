@@ -56,3 +56,28 @@ def test_recursion_skips_only_distant_blocks():
 
 def test_empty_table(spark):
     assert em.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
+
+
+def test_runs_of_blocks_change_no_result(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    base = rng.normal(size=(40, 12)) + 2.0
+    rows = [(i, (base[i % 40] + rng.normal(size=12) * 0.06).tolist(), int(i % 2)) for i in range(700)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    want = brute(rows)
+    for size in (1, 1 << 14, 1 << 30):  # bytes of a run: one block, some, all
+        monkeypatch.setattr(em, "RUN_BYTES", size)
+        spark.conf.set("spark.sql.shuffle.partitions", 1 if size > 1 << 20 else 4)
+        got = em.near_duplicates(table, block=32).collect()
+        assert sorted(((r.vec_id, r.n_links, r.component_id) for r in got), key=repr) == want
+    spark.conf.set("spark.sql.shuffle.partitions", 4)
+
+
+def test_more_lengths_than_get_axes(spark, monkeypatch):
+    monkeypatch.setattr(em, "LENGTHS", 2)
+    rng = np.random.default_rng(2)
+    rows = []
+    for i in range(120):
+        v = np.ones(2 + i % 9) + (rng.normal(size=2 + i % 9) * 0.2)
+        rows.append((i, v.tolist(), 0))
+    got = em.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), block=4).collect()
+    assert sorted(((r.vec_id, r.n_links, r.component_id) for r in got), key=repr) == brute(rows)

@@ -64,3 +64,22 @@ def test_empty_documents(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, SF)
         assert docs.count() == 0
+
+
+def test_edges_of_stages(spark):
+    """Null and empty texts, null keys, repeated rows, one key with two texts, a further column with a name of the stages' own."""
+    text = "some words that make up a text of more than five words " * 3
+    rows = [(1, text, "en", "a", 9, "x"), (1, text, "en", "a", 9, "x"), (2, text + "end", "en", "b", 9, "y"), (3, None, "en", "a", None, "x"), (3, None, "en", "a", None, "x"), (4, "", None, None, 0, "x"), (None, text, "en", "a", 9, "x"), (None, text, "en", "a", 9, "x"), (5, "token=abcdefghijklmnop", "en", "a", 22, "x"), (5, "another text of the same key", "en", "a", 22, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, kept string")
+    steps = dict(corpus_pipeline.STAGES)
+    clean = steps["toxicity"](spark, docs, SF)
+    assert clean.columns == docs.columns and clean.count() == len(rows)
+    first = steps["minhash near-dedup"](spark, docs, SF)
+    left = collections.Counter((r.doc_id, r.text) for r in first.collect())
+    assert left == {(1, text): 1, (3, None): 1, (4, ""): 1, (None, text): 1, (5, "token=abcdefghijklmnop"): 1, (5, "another text of the same key"): 1}
+    safe = steps["secret scans"](spark, docs, SF)
+    assert collections.Counter(r.text for r in safe.collect()) == collections.Counter(r[1] if r[0] != 5 or "token" not in r[1] else "[SECRET]" for r in rows)
+    mixed = steps["mixing"](spark, docs, SF)
+    assert mixed.columns == docs.columns and not mixed.where("text is null or text = ''").count() and mixed.where("doc_id is null").count()
+    out = steps["byte-level bpe"](spark, docs, SF).collect()
+    assert len(out) == len(rows) and sorted(r.n_tokens for r in out)[:3] == [0, 0, 0]

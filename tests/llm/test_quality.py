@@ -43,3 +43,21 @@ def test_verdict_ignores_order_and_order_follows_rate(spark):
 
 def test_empty_table(spark):
     assert quality.apply_rules(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_null_keys_repeated_rows_and_filter(spark):
+    good, bad = "clean words that all differ from each other as prose would do", "x"
+    docs = spark.createDataFrame([(None, good, 1), (1, good, 2), (1, good, 2), (2, bad, 3), (3, None, 4)], "doc_id long, text string, n_words int")
+    assert sorted((r.doc_id or 0, r.kept) for r in quality.apply_rules(docs).collect()) == [(0, True), (1, True), (1, True), (2, False), (3, False)]
+    kept = quality.keep_good(docs)
+    assert kept.columns == docs.columns and sorted(r.n_words for r in kept.collect()) == [1, 2, 2]
+    table = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    want = {r.doc_id for r in quality.apply_rules(table).collect() if r.kept}
+    assert {r.doc_id for r in quality.keep_good(table).collect()} == want
+
+
+def test_figures_that_are_owed_cost_rules_nothing(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    free = dict((r, s) for r, s, _ in quality.measure(docs, owed=quality.COUNTS))
+    paid = dict((r, s) for r, s, _ in quality.measure(docs))
+    assert free["duplicate_lines"] < paid["duplicate_lines"]

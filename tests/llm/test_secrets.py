@@ -52,3 +52,16 @@ def test_redact_and_edges(spark):
     assert len(rows) == 4
     assert [(r.text, r.n_chars) for r in rows if r.doc_id == 1] == [("a [SECRET] é [SECRET] z", 23)]
     assert secrets.redact(docs.limit(0)).count() == 0
+
+
+def test_ledger_table_grows_by_what_is_new(spark, tmp_path):
+    path = f"file://{tmp_path}/ledger"
+    history = spark.createDataFrame([("a.txt", "c1", "token=abcdefghijklmnop"), ("a.txt", "c2", "clean"), ("b.txt", "c2", "token=abcdefghijklmnop")], "path string, commit string, text string")
+    assert secrets.open_ledger(spark, path) is None
+    assert secrets.update(history, path, secrets.RULES[:1], "path").count() == 2
+    assert secrets.update(history, path, secrets.RULES[:1], "path").count() == 2
+    more = history.union(spark.createDataFrame([("a.txt", "c3", "0123456789abcdef")], history.schema))
+    ledger = secrets.update(more, path, secrets.RULES[:3], "path")
+    assert ledger.count() == 5  # the new blob, and both others under the two new rules
+    found = {(r.path, r.commit): secrets.RULES[r.spans[0].kind].kind for r in secrets.findings(more, ledger, "path", also=("commit",)).collect() if r.spans}
+    assert found == {("a.txt", "c1"): "assign", ("b.txt", "c2"): "assign", ("a.txt", "c3"): "hex"}

@@ -40,3 +40,39 @@ def test_ftrl_is_sparse_and_learns():
         model.learn(np.array([2, 3]), 0)
     w = model.weights(np.arange(17))
     assert w[1] > 0 > w[3] and not w[4:16].any()
+
+
+def test_training_equals_a_plain_ftrl(spark):
+    """The same weights and scores from dictionaries and loops, one coordinate at a time."""
+    import math
+
+    words = ["bad", "awful", "good", "fine", "text", "more", "words", "here"]
+    rows = [(i, " ".join(words[(i * 7 + k * (i % 3 + 1)) % 8] for k in range(6)), int(i % 3 == 0)) for i in range(240)]
+    docs = spark.createDataFrame([(k, t) for k, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, y) for k, _, y in rows], "doc_id long, toxic int")
+    bits = 12
+    got = {r.coordinate: r.weight for r in toxicity.train(docs, labels, bits=bits, epochs=2).collect()}
+    order = [r.doc_id for r in docs.selectExpr("doc_id", "xxhash64(doc_id) h").orderBy("h", "doc_id").collect() if toxicity.crc32_text(r.doc_id) % 4 != 2]
+    by = {k: (toxicity.features(t, bits).tolist(), y) for k, t, y in rows}
+    z, n = {}, {}
+
+    def weight(c):
+        l1 = 0.0 if c == 1 << bits else toxicity.L1
+        zc = z.get(c, 0.0)
+        return 0.0 if abs(zc) <= l1 else -(zc - math.copysign(l1, zc)) / ((toxicity.BETA + math.sqrt(n.get(c, 0.0))) / toxicity.ALPHA + toxicity.L2)
+
+    for _ in range(2):
+        for k in order:
+            at, y = by[k]
+            at = [*at, 1 << bits]
+            w = {c: weight(c) for c in at}
+            g = 1 / (1 + math.exp(-max(-35.0, min(35.0, sum(w.values()))))) - y
+            for c in at:
+                was = n.get(c, 0.0)
+                z[c] = z.get(c, 0.0) + g - (math.sqrt(was + g * g) - math.sqrt(was)) / toxicity.ALPHA * w[c]
+                n[c] = was + g * g
+    want = {c: weight(c) for c in z if weight(c)}
+    assert got.keys() == want.keys() and all(math.isclose(got[c], want[c], rel_tol=1e-9) for c in want)
+    scores = {r.doc_id: r.score for r in toxicity.score(docs, toxicity.train(docs, labels, bits=bits, epochs=2), bits=bits).collect()}
+    for k, (at, _) in by.items():
+        assert math.isclose(scores[k], 1 / (1 + math.exp(-sum(want.get(c, 0.0) for c in [*at, 1 << bits]))), rel_tol=1e-5)

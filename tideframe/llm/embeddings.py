@@ -2,9 +2,12 @@
 
 Cosine similarity of at least c is a distance of at most e = sqrt(2 - 2c) between unit vectors. Vectors are projected on
 the leading principal dimensions, which cannot lengthen distances, and sorted by the grid cells of width e they fall in.
-Consecutive vectors make blocks; pairs of blocks whose boxes lie more than e apart in any of these dimensions are
-provably distant and never meet. Inside a pair the two sequences are halved recursively, again skipping distant
-halves, down to small matrices whose products are computed in double precision.
+Consecutive vectors make blocks, and consecutive blocks of a label make runs; pairs of runs, then of blocks, whose boxes
+lie more than e apart in any of these dimensions are provably distant and never meet. A pair of runs is a tile: a block is
+sent once to each tile of its run, not once to each block it meets, so with runs of a length that makes about as many
+tiles as tasks, the vectors moved grow as their number times the root of that of the tasks. Inside a pair of blocks the
+two sequences are halved recursively, again skipping distant halves, down to small matrices whose products are computed
+in double precision. Which axes the grid takes changes no result, only what is skipped, so they are fitted on a sample.
 
 Equal vectors under one label are one class, so copies cost one row. A pair of blocks returns for each class the number
 of vectors linked and the edges of a spanning forest, never the list of links, so output grows with rows alone.
@@ -32,6 +35,8 @@ from tideframe.llm.components import components
 COSINE = 0.98
 #: Leading principal dimensions of the grid, vectors of a block, rows of a matrix at the end of the recursion.
 DIMENSIONS, BLOCK, LEAF = 8, 1024, 128
+#: Vectors that the axes are fitted on, lengths of vectors that get axes of their own, bytes of a run that a task holds.
+SAMPLE, LENGTHS, RUN_BYTES = 20_000, 16, 32 << 20
 SLACK = 1e-9
 
 
@@ -62,29 +67,32 @@ def _units(vecs: list[bytes]) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def principal(classes: DataFrame, dim: int, count: int) -> np.ndarray:
-    """Leading principal directions (dim x count) of the unit vectors of length dim: their second moments, summed where they are."""
+def principal(classes: DataFrame, n: int, count: int) -> dict[int, np.ndarray]:
+    """Leading principal directions (length x count) of the unit vectors of each of the LENGTHS most frequent lengths, of
+    about SAMPLE vectors of n, by the hash of their names; other lengths take their first coordinates."""
 
     def run(batches):
-        total = np.zeros((dim, dim))
+        held: dict[int, list] = {}
         for batch in batches:
-            if batch.num_rows:
-                x = _units(batch.column(0).to_pylist())
-                total += x.T @ x
-        i, j = np.triu_indices(dim)
-        yield pa.RecordBatch.from_pydict({"i": pa.array(i, pa.int32()), "j": pa.array(j, pa.int32()), "s": total[i, j]})
-
-    sums = classes.where(F.col("dim") == dim).select("vec").mapInArrow(run, "i int, j int, s double").groupBy("i", "j").agg(F.sum("s").alias("s")).collect()
-    moments = np.zeros((dim, dim))
-    for i, j, s in sums:
-        moments[i, j] = moments[j, i] = s
-    return np.linalg.eigh(moments)[1][:, ::-1][:, :count]
-
-
-def blocks(classes: DataFrame, axes: dict[int, np.ndarray], epsilon: float, size: int = BLOCK) -> DataFrame:
-    """(block, label, dim, lo, hi, reps, sigs, ns, vecs): the classes in epsilon grid order, size to a block."""
+            for d, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                held.setdefault(d, []).append(v)
+        most = sorted(held, key=lambda d: (-len(held[d]), d))[:LENGTHS]
+        axes = []
+        for d in most:
+            x = _units(held[d])
+            axes.append(np.ascontiguousarray(np.linalg.eigh(x.T @ x)[1][:, ::-1][:, : min(d, count)]).tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array(most, pa.int32()), pa.array(axes, pa.binary())], names=["dim", "axes"])
+
+    some = classes.where(F.pmod(F.xxhash64("sig"), F.lit(max(1, n // SAMPLE))) == 0).select("dim", "vec")
+    found = some.repartition(1).mapInArrow(run, "dim int, axes binary").collect()
+    return {r.dim: np.frombuffer(r.axes, np.float64).reshape(r.dim, -1) for r in found}
+
+
+def blocks(classes: DataFrame, axes: dict[int, np.ndarray], epsilon: float, size: int = BLOCK, run: int = 1) -> DataFrame:
+    """(block, run, label, dim, lo, hi, reps, sigs, ns, vecs): the classes in epsilon grid order, size to a block; run names
+    as many blocks of a label and length in a row."""
     kinds = {c: classes.schema[c].dataType.simpleString() for c in ("label", "rep")}
-    count = max((a.shape[1] for a in axes.values()), default=1)
+    count = DIMENSIONS
 
     def place(batches):
         for batch in batches:
@@ -92,25 +100,28 @@ def blocks(classes: DataFrame, axes: dict[int, np.ndarray], epsilon: float, size
             spots = [np.zeros(count)] * len(vecs)
             for d in set(dims):
                 at = [i for i, x in enumerate(dims) if x == d]
-                cast = _units([vecs[i] for i in at]) @ axes[d]
+                cast = _units([vecs[i] for i in at]) @ (axes[d] if d in axes else np.eye(d, min(d, count)))
                 for i, row in zip(at, cast, strict=True):
                     spots[i] = np.pad(row, (0, count - len(row)))
             cells = np.floor(np.array(spots).reshape(-1, count) / epsilon).astype(np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([c.tolist() for c in cells], pa.list_(pa.int64())), pa.array([p.tolist() for p in spots], pa.list_(pa.float64()))], names=[*batch.schema.names, "cell", "spot"])
 
     def cut(batches):
-        first, held, serial = TaskContext.get().partitionId() << 32, [], 0
+        first, held, serial, in_run, last = TaskContext.get().partitionId() << 32, [], 0, (0, 0), None
 
         def block():
-            nonlocal held, serial
+            nonlocal held, serial, in_run, last
             spots = np.array([r["spot"] for r in held])
-            row = {"block": first + serial, "label": held[0]["label"], "dim": held[0]["dim"], "lo": spots.min(0).tolist(), "hi": spots.max(0).tolist()}
+            of = held[0]["label"], held[0]["dim"]
+            in_run = (in_run[0], in_run[1] + 1) if of == last and in_run[1] + 1 < run else (serial, 0)
+            last = of
+            row = {"block": first + serial, "run": first + in_run[0], "label": held[0]["label"], "dim": held[0]["dim"], "lo": spots.min(0).tolist(), "hi": spots.max(0).tolist()}
             row |= {"reps": [r["rep"] for r in held], "sigs": [r["sig"] for r in held], "ns": [r["n"] for r in held], "spots": spots.tobytes(), "vecs": b"".join(r["vec"] for r in held)}
             held, serial = [], serial + 1
             return pa.RecordBatch.from_pylist([row], schema=schema)
 
         for batch in batches:
-            schema = pa.schema([("block", pa.int64()), ("label", batch.schema.field("label").type), ("dim", pa.int32()), ("lo", pa.list_(pa.float64())), ("hi", pa.list_(pa.float64())), ("reps", pa.list_(batch.schema.field("rep").type)), ("sigs", pa.list_(pa.binary())), ("ns", pa.list_(pa.int64())), ("spots", pa.binary()), ("vecs", pa.binary())])
+            schema = pa.schema([("block", pa.int64()), ("run", pa.int64()), ("label", batch.schema.field("label").type), ("dim", pa.int32()), ("lo", pa.list_(pa.float64())), ("hi", pa.list_(pa.float64())), ("reps", pa.list_(batch.schema.field("rep").type)), ("sigs", pa.list_(pa.binary())), ("ns", pa.list_(pa.int64())), ("spots", pa.binary()), ("vecs", pa.binary())])
             for r in batch.to_pylist():
                 if held and (len(held) == size or (held[0]["label"], held[0]["dim"]) != (r["label"], r["dim"])):
                     yield block()
@@ -122,7 +133,7 @@ def blocks(classes: DataFrame, axes: dict[int, np.ndarray], epsilon: float, size
     placed = classes.select("label", "dim", "sig", "rep", "n", "vec").mapInArrow(place, f"{base}, cell array<long>, spot array<double>")
     keys = ["label", "dim", "cell", "sig"]
     ordered = placed.repartitionByRange(*keys).sortWithinPartitions(*keys)
-    return ordered.mapInArrow(cut, f"block long, label {kinds['label']}, dim int, lo array<double>, hi array<double>, reps array<{kinds['rep']}>, sigs array<binary>, ns array<long>, spots binary, vecs binary")
+    return ordered.mapInArrow(cut, f"block long, run long, label {kinds['label']}, dim int, lo array<double>, hi array<double>, reps array<{kinds['rep']}>, sigs array<binary>, ns array<long>, spots binary, vecs binary")
 
 
 class Side:
@@ -187,6 +198,66 @@ def forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return root
 
 
+def tiles(cut: DataFrame, epsilon: float) -> DataFrame:
+    """(a, b) of all pairs of runs, each with itself too, whose boxes are not more than epsilon apart: an equi-join on label,
+    length and the grid cells of the first dimension, which order runs, then all dimensions."""
+    edge = lambda fn, c: F.array(*[fn(F.get(c, F.lit(i))) for i in range(DIMENSIONS)]).alias(c)
+    boxes = common.settle(cut.groupBy("run", "label", "dim").agg(edge(F.min, "lo"), edge(F.max, "hi")), "boxes")
+    reach = lambda c, e: F.explode(F.sequence(F.floor((F.element_at("lo", 1) - e) / epsilon), F.floor((F.element_at("hi", 1) + e) / epsilon))).alias(c)
+    left = boxes.select(F.col("run").alias("a"), "label", "dim", F.col("lo").alias("alo"), F.col("hi").alias("ahi"), reach("cell", epsilon + SLACK))
+    right = boxes.select(F.col("run").alias("b"), "label", "dim", "lo", "hi", reach("cell", 0.0))
+    apart = F.array_max(F.zip_with(F.zip_with("alo", "hi", lambda x, y: x - y), F.zip_with("lo", "ahi", lambda x, y: x - y), lambda x, y: F.greatest(x, y)))
+    return left.join(right, ["label", "dim", "cell"]).where((F.col("a") <= F.col("b")) & (apart <= epsilon + SLACK)).select("a", "b").distinct()
+
+
+def tile_links(cut: DataFrame, epsilon: float, cosine: float, kinds: dict[str, str]) -> DataFrame:
+    """(label, sig, more, rep, root): for each class of a pair of blocks how many vectors of the other it is linked with, and
+    the least class that it reaches by links between the two."""
+    sides = F.when(F.col("a") == F.col("b"), F.array(F.struct(F.lit(0).alias("side"), F.col("a").alias("run")))).otherwise(F.array(F.struct(F.lit(0).alias("side"), F.col("a").alias("run")), F.struct(F.lit(1).alias("side"), F.col("b").alias("run"))))
+    pairs = common.settle(tiles(cut, epsilon), "tiles")
+    sent = pairs.select("a", "b", F.inline(sides)).join(cut.select("run", "block", "label", "dim", "reps", "sigs", "ns", "spots", "vecs"), "run")
+    # a tile's first run comes before its second, so one task reads the second past the first
+    dealt = sent.repartition("a", "b").sortWithinPartitions("a", "b", "side", "block")
+
+    def links(x: tuple, y: tuple, schema):
+        (v, a), (w, b), same = x, y, x is y
+        i, j = join_sequences(a, b, same, epsilon, cosine)
+        if not len(i):
+            return
+        shift = 0 if same else len(v["reps"])
+        reps, sigs = (v["reps"], v["sigs"]) if same else (v["reps"] + w["reps"], v["sigs"] + w["sigs"])
+        ns = np.array(v["ns"] if same else v["ns"] + w["ns"], np.int64)
+        more = np.zeros(len(reps), np.int64)
+        np.add.at(more, i, ns[j + shift])
+        np.add.at(more, j + shift, ns[i])
+        root = forest(len(reps), i, j + shift)
+        hit = np.flatnonzero(more)
+        label, key = schema.field("label").type, schema.field("reps").type.value_type
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([v["label"]] * len(hit), label), pa.array([sigs[k] for k in hit], pa.binary()), pa.array(more[hit], pa.int64()), pa.array([reps[k] for k in hit], key), pa.array([reps[root[k]] for k in hit], key)],
+            names=["label", "sig", "more", "rep", "root"],
+        )
+
+    def run(batches):
+        tile, held = None, []
+        for batch in batches:
+            for r in range(batch.num_rows):
+                v = {c: batch.column(c)[r].as_py() for c in batch.schema.names}
+                if (v["a"], v["b"]) != tile:
+                    tile, held = (v["a"], v["b"]), []
+                own = v, Side(v["dim"], len(v["reps"]), v.pop("spots"), v.pop("vecs"))
+                for other in held:
+                    if v["side"] or v["a"] == v["b"]:
+                        yield from links(other, own, batch.schema)
+                if not v["side"]:
+                    held.append(own)
+                if v["a"] == v["b"]:
+                    yield from links(own, own, batch.schema)
+
+    columns = ["a", "b", "side", "label", "dim", "reps", "sigs", "ns", "spots", "vecs"]
+    return dealt.select(*columns).mapInArrow(run, f"label {kinds['label']}, sig binary, more long, rep {kinds['key']}, root {kinds['key']}")
+
+
 def near_duplicates(table: DataFrame, cosine: float = COSINE, key: str = "vec_id", vector: str = "embedding", label: str = "label", block: int = BLOCK) -> DataFrame:
     """(key, n_links, component_id, kept) of every row."""
     common.with_workers(table.sparkSession)
@@ -195,51 +266,12 @@ def near_duplicates(table: DataFrame, cosine: float = COSINE, key: str = "vec_id
     full = rows.where("sig is not null")
     classes = full.groupBy("label", "sig").agg(F.min("key").alias("rep"), F.count("*").alias("n"), F.first("vec").alias("vec"))
     classes = common.settle(classes.withColumn("dim", (F.length("vec") / 8).cast("int")), "vector-classes")
-    dims = [r.dim for r in classes.select("dim").distinct().collect()]
-    axes = {d: principal(classes, d, min(d, DIMENSIONS)) for d in dims}
-    cut = common.settle(blocks(classes, axes, epsilon, block), "blocks")
-
-    # block pairs: an equi-join on label, length and a grid cell of the first dimension, then the boxes
-    reach = lambda c, e: F.explode(F.sequence(F.floor((F.element_at("lo", 1) - e) / epsilon), F.floor((F.element_at("hi", 1) + e) / epsilon))).alias(c)
-    boxes = cut.select("block", "label", "dim", "lo", "hi")
-    left = boxes.select(F.col("block").alias("a"), "label", "dim", F.col("lo").alias("alo"), F.col("hi").alias("ahi"), reach("cell", epsilon + SLACK))
-    right = boxes.select(F.col("block").alias("b"), "label", "dim", "lo", "hi", reach("cell", 0.0))
-    apart = F.array_max(F.zip_with(F.zip_with("alo", "hi", lambda x, y: x - y), F.zip_with("lo", "ahi", lambda x, y: x - y), lambda x, y: F.greatest(x, y)))
-    pairs = left.join(right, ["label", "dim", "cell"]).where((F.col("a") <= F.col("b")) & (apart <= epsilon + SLACK)).select("a", "b").distinct()
-    side = lambda c: cut.select(F.col("block").alias(c), *[F.col(x).alias(x + c) for x in ("label", "dim", "reps", "sigs", "ns", "spots", "vecs")])
+    n, widest = classes.agg(F.count(F.lit(1)), F.max("dim")).first()
+    tasks = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    run = max(1, min(math.ceil(n / block / math.sqrt(2 * tasks)), RUN_BYTES // (block * 8 * max(widest or 1, 1))))
+    cut = common.settle(blocks(classes, principal(classes, n, DIMENSIONS), epsilon, block, run), "blocks")
     kinds = {c: rows.schema[c].dataType.simpleString() for c in ("label", "key")}
-
-    def run(batches):
-        for batch in batches:
-            for r in range(batch.num_rows):
-                v = {c: batch.column(c)[r].as_py() for c in batch.schema.names}
-                same = v["a"] == v["b"]
-                a = Side(v["dima"], len(v["repsa"]), v["spotsa"], v["vecsa"])
-                b = a if same else Side(v["dimb"], len(v["repsb"]), v["spotsb"], v["vecsb"])
-                i, j = join_sequences(a, b, same, epsilon, cosine)
-                if not len(i):
-                    continue
-                shift = 0 if same else len(v["repsa"])
-                reps, sigs = (v["repsa"], v["sigsa"]) if same else (v["repsa"] + v["repsb"], v["sigsa"] + v["sigsb"])
-                ns = np.array(v["nsa"] if same else v["nsa"] + v["nsb"], np.int64)
-                more = np.zeros(len(reps), np.int64)
-                np.add.at(more, i, ns[j + shift])
-                np.add.at(more, j + shift, ns[i])
-                root = forest(len(reps), i, j + shift)
-                hit = np.flatnonzero(more)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([v["labela"]] * len(hit), batch.schema.field("labela").type),
-                        pa.array([sigs[k] for k in hit], pa.binary()),
-                        pa.array(more[hit], pa.int64()),
-                        pa.array([reps[k] for k in hit], batch.schema.field("repsa").type.value_type),
-                        pa.array([reps[root[k]] for k in hit], batch.schema.field("repsa").type.value_type),
-                    ],
-                    names=["label", "sig", "more", "rep", "root"],
-                )
-
-    met = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "dima", "dimb", "labela", "repsa", "repsb", "sigsa", "sigsb", "nsa", "nsb", "spotsa", "spotsb", "vecsa", "vecsb")
-    linked = common.settle(met.mapInArrow(run, f"label {kinds['label']}, sig binary, more long, rep {kinds['key']}, root {kinds['key']}"), "linked")
+    linked = common.settle(tile_links(cut, epsilon, cosine, kinds), "linked")
     several = full.groupBy("key").agg(F.min(F.struct("label", "sig")).alias("x"), F.max(F.struct("label", "sig")).alias("y")).where("x != y").select("key")
     several = full.join(several, "key", "left_semi").select("key", "label", "sig").join(classes, ["label", "sig"]).select(F.col("key").alias("a"), F.col("rep").alias("b"))
     found = components(linked.select(F.col("rep").alias("a"), F.col("root").alias("b")).union(several))
