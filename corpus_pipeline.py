@@ -3,6 +3,13 @@
 Each stage is a function of (spark, docs, sf_dir) that works on all its predecessor kept: documents found toxic go, one
 document of each group of near-duplicates stays, secrets are replaced in the texts, sources are mixed to their target
 weights (a document comes as often as the mix takes it), and what is left is encoded.
+
+Defined results: a null text is an empty one to every stage, and stays null where it is returned; null keys are documents
+of their own, which no near-duplicate removes; rows of one key with different texts or columns are one document and stay
+or go together, exactly repeated rows are left once by the second stage and mixed as documents of their own by the
+fourth; empty texts have no words, so the mix takes none of them; an empty table gives empty results. Columns besides
+those of documents pass through all stages but the last as they are; no stage adds a column to theirs, so names cannot
+clash.
 """
 
 from __future__ import annotations
@@ -19,10 +26,16 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group of near-duplicates."""
-    found = neardup.near_duplicates(docs)
+    """The first document of each group of near-duplicates; of exactly repeated rows one."""
+    found = common.settle(neardup.near_duplicates(docs).select("doc_id", "kept"), "found")
     gone = common.settle(found.where("not kept").select("doc_id").distinct(), "dropped")
-    return docs.join(common.small_or_not(gone), "doc_id", "left_anti").select(*docs.columns)
+    left = docs.join(common.small_or_not(gone), "doc_id", "left_anti").select(*docs.columns)
+    several = common.settle(found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"), "repeated")
+    if several.isEmpty():
+        return left
+    some = common.small_or_not(several)
+    again = left.where("doc_id is null").unionByName(left.join(some, "doc_id", "left_semi").select(*docs.columns))
+    return left.where("doc_id is not null").join(some, "doc_id", "left_anti").select(*docs.columns).unionByName(again.dropDuplicates())
 
 
 def replace_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
