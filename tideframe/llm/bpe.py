@@ -24,7 +24,7 @@ from tideframe.llm import common
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 #: Entries that a worker's cache of pre-tokens holds before it starts anew, and the longest pre-token it keeps.
-CACHE_ENTRIES, CACHE_CHARS = 1 << 19, 64
+CACHE_ENTRIES, CACHE_CHARS = 1 << 17, 64
 
 
 def byte_chars() -> list[str]:
@@ -84,11 +84,13 @@ class Codec:
         model = sentencepiece.SentencePieceProcessor(model_proto=serialise(self.tokens))
         chars = byte_chars()
 
+        seen = common.Seen()
+
         class Cache(dict):
             def __missing__(self, text: str) -> bytes:
                 ids = model.encode("".join([chars[b] for b in text.encode()]))
                 packed = struct.pack(f"<{len(ids)}i", *[i - 1 for i in ids])
-                if len(text) <= CACHE_CHARS:
+                if len(text) <= CACHE_CHARS and seen.before(text):
                     if len(self) >= CACHE_ENTRIES:
                         self.clear()
                     self[text] = packed

@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideframe.llm import common
+from tideframe.llm.shingles import slices
 
 BITS = 20
 STEMS = (4, 6, 8)
@@ -34,8 +35,10 @@ MAX_ROWS = 16_000
 EPOCHS = 5
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 5.0, 0.1
 THRESHOLD = 0.3
-#: Entries of a worker's cache of word hashes before it starts anew.
-CACHE_ENTRIES = 1 << 20
+#: Hashes of keys are taken modulo this, for the choice of the rows that train.
+DEAL = 1 << 40
+#: Entries of a worker's cache of word hashes before it starts anew, and texts that it takes out of a batch at a time.
+CACHE_ENTRIES, SLICE = 1 << 17, 256
 
 
 PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -44,12 +47,18 @@ PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 class Hashes(dict):
     """A word's hash and those of its stems (0 for a stem it is too short for), packed as unsigned 64-bit integers."""
 
+    def __init__(self):
+        super().__init__()
+        self.seen = common.Seen()
+
     def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= CACHE_ENTRIES:
-            self.clear()
         bare = word.strip(PUNCTUATION) or word
         stems = [xxhash.xxh3_64_intdigest(bare[:n], seed=n) if len(bare) > n else 0 for n in STEMS]
-        h = self[word] = struct.pack(f"<{1 + len(stems)}Q", xxhash.xxh3_64_intdigest(bare), *stems)
+        h = struct.pack(f"<{1 + len(stems)}Q", xxhash.xxh3_64_intdigest(bare), *stems)
+        if self.seen.before(word):
+            if len(self) >= CACHE_ENTRIES:
+                self.clear()
+            self[word] = h
         return h
 
 
@@ -98,14 +107,14 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     """The model: (coordinate int, weight double) of every weight that is not zero; the intercept has coordinate 2**bits."""
     common.with_workers(docs.sparkSession)
     marked = labels.select(F.col(key).alias("key"), F.col(label).cast("int").alias("y"))
-    marked = marked.where(~held_out(F.col("key")) & F.col("y").isin(0, 1)).withColumn("deal", F.xxhash64("key"))
-    if (n := marked.count()) > 2 * max_rows:  # thin by hash first, so that no task sorts them all
-        marked = marked.where(F.pmod("deal", F.lit(1 << 30)) < int(1.3 * max_rows / n * (1 << 30)))
+    marked = marked.where(~held_out(F.col("key")) & F.col("y").isin(0, 1)).withColumn("deal", F.pmod(F.xxhash64("key"), F.lit(DEAL)))
+    if (n := marked.count()) > 2 * max_rows:  # thin by the same hash first, so that no task sorts them all
+        marked = marked.where(F.col("deal") < int(1.3 * max_rows / n * DEAL))
     chosen = marked.orderBy("deal", "key", "y").limit(max_rows).select("key", "y")
     texts = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
 
     def extract(batches):
-        for batch in batches:
+        for batch in slices(batches, SLICE):
             at = [features(t, bits) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([a.tobytes() for a in at], pa.binary())], names=["key", "y", "at"])
 
@@ -139,7 +148,7 @@ def score(docs: DataFrame, model: DataFrame, key: str = "doc_id", text: str = "t
     def run(batches):
         w = np.zeros(1 << bits, np.float64)
         w[sent.value[0]] = sent.value[1]
-        for batch in batches:
+        for batch in slices(batches, SLICE):
             out = []
             for t in batch.column(1).to_pylist():
                 total = float(w[features(t, bits)].sum()) + intercept
@@ -163,7 +172,7 @@ def keep_clean(docs: DataFrame, model: DataFrame, threshold: float = THRESHOLD,
     def run(batches):
         dense = np.zeros(1 << bits, np.float64)
         dense[sent.value[0]] = sent.value[1]
-        for batch in batches:
+        for batch in slices(batches, SLICE):
             keep = []
             for t in batch.column(place).to_pylist():
                 total = float(dense[features(t, bits)].sum()) + intercept
