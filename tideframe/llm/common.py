@@ -7,6 +7,7 @@ import os
 import shutil
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -84,6 +85,12 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def held(df: DataFrame) -> DataFrame:
+    """df kept on the executors' disks for a few uses, until unpersist(): a helper of what is settled next. What a lost
+    executor held is made again from the settled tables before it."""
+    return df.persist(StorageLevel.DISK_ONLY)
+
+
 def drop(settled: DataFrame) -> None:
     """Remove a settled table that no later plan reads."""
     fs, at = _hadoop(settled.sparkSession, settled.settled_at)
@@ -115,7 +122,7 @@ def _bytes(field: T.StructField) -> Column:
     return F.lit(8)
 
 
-def small_or_not(settled: DataFrame, rows: int = SMALL_ROWS, size: int = SMALL_BYTES) -> DataFrame:
-    """settled, marked for a broadcast join only if it is found to have few rows and bytes; else joins shuffle it."""
-    n, total = settled.agg(F.count(F.lit(1)), F.sum(sum((_bytes(f) for f in settled.schema), F.lit(0)))).first()
-    return F.broadcast(settled) if n <= rows and (total or 0) <= size else settled
+def small_or_not(kept: DataFrame, rows: int = SMALL_ROWS, size: int = SMALL_BYTES) -> DataFrame:
+    """kept (settled or held), marked for a broadcast join only if it is found to have few rows and bytes; else joins shuffle it."""
+    n, total = kept.agg(F.count(F.lit(1)), F.sum(sum((_bytes(f) for f in kept.schema), F.lit(0)))).first()
+    return F.broadcast(kept) if n <= rows and (total or 0) <= size else kept

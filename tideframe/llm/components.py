@@ -23,13 +23,15 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     was, figures = None, _figures(now)
     while figures != was and figures[0]:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        # written before it is joined: a join of two plain shuffles can split a hot node, one of an aggregate cannot
-        lowest = common.settle(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "lowest")
+        # kept before it is joined: a join of two plain shuffles can split a hot node, one of an aggregate cannot
+        lowest = common.held(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
         large = both.where("v > u").join(lowest, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = common.settle(large, "large-star")
-        lowest = common.settle(large.groupBy("u").agg(F.min("v").alias("m")), "lowest")
+        lowest.unpersist()
+        lowest = common.held(large.groupBy("u").agg(F.min("v").alias("m")))
         moved = large.join(lowest, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = common.settle(moved.union(lowest.select("u", F.col("m").alias("v"))).distinct(), "small-star")
+        lowest.unpersist()
         was, figures = figures, _figures(now)
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select("v", "v").distinct())
 

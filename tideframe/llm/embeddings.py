@@ -202,7 +202,7 @@ def tiles(cut: DataFrame, epsilon: float) -> DataFrame:
     """(a, b) of all pairs of runs, each with itself too, whose boxes are not more than epsilon apart: an equi-join on label,
     length and the grid cells of the first dimension, which order runs, then all dimensions."""
     edge = lambda fn, c: F.array(*[fn(F.get(c, F.lit(i))) for i in range(DIMENSIONS)]).alias(c)
-    boxes = common.settle(cut.groupBy("run", "label", "dim").agg(edge(F.min, "lo"), edge(F.max, "hi")), "boxes")
+    boxes = cut.groupBy("run", "label", "dim").agg(edge(F.min, "lo"), edge(F.max, "hi"))
     reach = lambda c, e: F.explode(F.sequence(F.floor((F.element_at("lo", 1) - e) / epsilon), F.floor((F.element_at("hi", 1) + e) / epsilon))).alias(c)
     left = boxes.select(F.col("run").alias("a"), "label", "dim", F.col("lo").alias("alo"), F.col("hi").alias("ahi"), reach("cell", epsilon + SLACK))
     right = boxes.select(F.col("run").alias("b"), "label", "dim", "lo", "hi", reach("cell", 0.0))
@@ -214,8 +214,7 @@ def tile_links(cut: DataFrame, epsilon: float, cosine: float, kinds: dict[str, s
     """(label, sig, more, rep, root): for each class of a pair of blocks how many vectors of the other it is linked with, and
     the least class that it reaches by links between the two."""
     sides = F.when(F.col("a") == F.col("b"), F.array(F.struct(F.lit(0).alias("side"), F.col("a").alias("run")))).otherwise(F.array(F.struct(F.lit(0).alias("side"), F.col("a").alias("run")), F.struct(F.lit(1).alias("side"), F.col("b").alias("run"))))
-    pairs = common.settle(tiles(cut, epsilon), "tiles")
-    sent = pairs.select("a", "b", F.inline(sides)).join(cut.select("run", "block", "label", "dim", "reps", "sigs", "ns", "spots", "vecs"), "run")
+    sent = tiles(cut, epsilon).select("a", "b", F.inline(sides)).join(cut.select("run", "block", "label", "dim", "reps", "sigs", "ns", "spots", "vecs"), "run")
     # a tile's first run comes before its second, so one task reads the second past the first
     dealt = sent.repartition("a", "b").sortWithinPartitions("a", "b", "side", "block")
 

@@ -162,9 +162,10 @@ def _prefix_pairs(docs: DataFrame, members: DataFrame, percent: int) -> DataFram
 
     texts = _texts(docs, members.select(F.col("rep").alias("key")))
     tokens = common.settle(texts.select("key", "text").mapInArrow(run, f"rep {kind}, set long, token long").distinct(), "tokens")  # a key may have several sets
-    # written before it is joined, here and below: a join of two plain shuffles can split a hot key, one of an aggregate cannot
-    often = common.settle(tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "shared-dfs")
+    # kept before it is joined: a join of two plain shuffles can split a hot key, one of an aggregate cannot
+    often = common.held(tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"))
     shared = common.settle(tokens.join(often, "token"), "shared-tokens")
+    often.unpersist()
     # a set's prefix: its size less the least overlap of a link, plus one; tokens of no other document come first
     size = tokens.groupBy("rep", "set").agg(F.count("*").alias("n"))
     room = size.join(shared.groupBy("rep", "set").agg(F.count("*").alias("held")), ["rep", "set"]).withColumn("alone", F.col("n") - F.col("held"))
