@@ -27,7 +27,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document of each group of near-duplicates; of exactly repeated rows one."""
-    found = common.settle(neardup.near_duplicates(docs).select("doc_id", "kept"), "found")
+    found = neardup.near_duplicates(docs).select("doc_id", "kept")
     gone = common.settle(found.where("not kept").select("doc_id").distinct(), "dropped")
     left = docs.join(common.small_or_not(gone), "doc_id", "left_anti").select(*docs.columns)
     several = common.settle(found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"), "repeated")
