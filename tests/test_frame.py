@@ -109,6 +109,10 @@ def test_regressions_run_without_gathering_groups(spark):
     df = queries.events(spark, SF).df
     for out in (linalg.ols_by(df, ["event_type"], "v", ["y"]), linalg.ols_by(df, ["user_id"], "v", ["y"], robust=True, order=["ts", "event_id"]), linalg.residuals_by(df, ["event_type"], "v", ["y"], ["event_id"])):
         assert "FlatMapGroupsInPandas" not in plan(out)
+    u = np.random.default_rng(1).normal(size=(30, 2))
+    few = spark.createDataFrame([(1, i, float(a), float(b)) for i, (a, b) in enumerate(u)], "g int, i int, a double, b double").withColumn("e", F.lit(1.0))
+    for lag in (0, 1, 4):
+        np.testing.assert_allclose(linalg.newey_west_by(few, ["g"], ["a", "b"], "e", lag, ["i"]).first().meat, linalg.newey_west_meat(u, np.ones(30), lag))
     one = spark.createDataFrame([(1, i, float(i), 2.0 * i, 1e9 + i % 3) for i in range(9)] + [(2, 0, 1.0, 1.0, 1.0), (3, 0, None, 1.0, 1.0)], "g int, i int, a double, b double, y double")
     fit = {r.g: r for r in linalg.ols_by(one, ["g"], "y", ["a", "b"]).collect()}
     assert fit[1].rank == 2 and fit[1].n == 9 and fit[2].params == [None] * 3 and fit[3].n == 0  # b is twice a
@@ -136,6 +140,14 @@ def test_expressions_of_values_and_casts(spark):
     assert f.select(a=col("x").ts_sum(2), b=col("i")).columns == ["a", "b"]
     with pytest.raises(ValueError):
         f.select(col("x").dropna(), col("i"))
+    assert f.value(col("x").fillna(value=0.0)).tolist() == [1, 0, 3] and f.simplify() is f
+    import pyarrow as pa
+
+    class Table:  # what polars gives
+        def to_arrow(self):
+            return pa.table({"a": [1, 2]})
+
+    assert io.frame(spark, Table()).to_dict() == {"a": [1, 2], "i": [0, 1]}
 
 
 def test_module_functions(spark):

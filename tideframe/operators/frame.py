@@ -86,6 +86,18 @@ class TideFrame:
         """Computed once and kept by the executors for what follows."""
         return self._with(self.df.cache())
 
+    def value(self, expr):
+        """The values of an expression in the order of rows, as an array on the driver."""
+        import numpy as np
+
+        out = self.with_columns(__value=asexpr(col(expr) if isinstance(expr, str) else expr))
+        rows = out.df.orderBy(*self.order) if self.order else out.df
+        return np.array(rows.select("__value").toArrow().column(0).to_pylist())
+
+    def simplify(self) -> TideFrame:
+        """The frame itself: Catalyst simplifies plans."""
+        return self
+
     def to_pl(self):
         """All rows in order as a polars frame, where polars is installed."""
         import polars

@@ -170,25 +170,38 @@ def _lagged(sums: DataFrame, own: DataFrame, by: list[str], order: list[str], na
     columns = [F.lit(1.0)] * constant + [F.col(f"__v{i}") for i in range(len(names) - 1)]
     rows = own.where("__good").join(marked, match)
     resid = F.col(f"__v{len(names) - 1}") - sum((F.get("beta", F.lit(i)) * c for i, c in enumerate(columns)), F.lit(0.0))
-    rows = rows.withColumn("__u", F.array(*[c * resid for c in columns]))
-    # each row against the weighted sum of the rows up to lags before it, nearest last
+    meat = _meat(rows.withColumn("__u", F.array(*[c * resid for c in columns])), by, order, p, most)
+    meat = meat.select(*[F.col(b).alias(f"__m{i}") for i, b in enumerate(by)], "meat")
+    same = None
+    for i, b in enumerate(by):
+        c = sums[b].eqNullSafe(meat[f"__m{i}"])
+        same = c if same is None else same & c
+    return sums.join(meat, same, "left").drop(*[f"__m{i}" for i in range(len(by))])
+
+
+def _meat(rows: DataFrame, by: list[str], order: list[str], p: int, most: int) -> DataFrame:
+    """(by, meat): sums of __u times itself and, by Bartlett weights, of __u times the __u of up to lags rows before, both
+    ways; flat by rows of p. lags is at most most."""
+    # each row against the weighted sum of the rows before it, nearest last
     before = F.collect_list("__u").over(Window.partitionBy(*by).orderBy(*order).rowsBetween(-max(most, 1), -1))
-    weight = lambda k: F.greatest(F.lit(0.0), 1 - k / (F.col("lags") + 1))
     rows = rows.withColumn("__before", before if most else F.array().cast("array<array<double>>"))
 
     def weighed(i: int) -> Column:
+        weight = lambda k: F.greatest(F.lit(0.0), 1 - k / (F.col("lags") + 1))
         return F.aggregate(F.transform("__before", lambda u, k: F.get(u, F.lit(i)) * weight(F.size("__before") - k)), F.lit(0.0), lambda a, v: a + v)
 
-    past = [weighed(i) for i in range(p)]
-    rows = rows.select(*by, "__u", F.array(*past).alias("__past"))
+    rows = rows.select(*by, "__u", F.array(*[weighed(i) for i in range(p)]).alias("__past"))
     cell = lambda i, j: F.get("__u", F.lit(i)) * F.get("__u", F.lit(j)) + F.get("__u", F.lit(i)) * F.get("__past", F.lit(j)) + F.get("__past", F.lit(i)) * F.get("__u", F.lit(j))
-    meat = rows.groupBy(*by).agg(F.array(*[F.sum(cell(i, j)) for i in range(p) for j in range(p)]).alias("meat"))
-    meat = meat.select(*[F.col(b).alias(f"__m{i}") for i, b in enumerate(by)], "meat")
-    same = None
-    for i, b in enumerate(by):
-        c = sums[b].eqNullSafe(meat[f"__m{i}"])
-        same = c if same is None else same & c
-    return sums.join(meat, same, "left").drop(*[f"__m{i}" for i in range(len(by))])
+    return rows.groupBy(*by).agg(F.array(*[F.sum(cell(i, j)) for i in range(p) for j in range(p)]).alias("meat"))
+
+
+def newey_west_by(df: DataFrame, by: list[str], x: list[str], resid: str, lag: int, order: list[str]) -> DataFrame:
+    """(by, meat array of rows) for each group: the middle of the Newey-West sandwich of columns x and residuals, in order;
+    incomplete rows are left out."""
+    p = len(x)
+    rows = df.where(_complete(df, [*x, resid])).select(*by, *order, F.lit(lag).alias("lags"), F.array(*[F.col(c).cast("double") * F.col(resid) for c in x]).alias("__u"))
+    flat = _meat(rows, by, order, p, lag)
+    return flat.select(*by, F.transform(F.sequence(F.lit(0), F.lit(p - 1)), lambda i: F.slice("meat", i * p + 1, p)).alias("meat"))
 
 
 def residuals_by(df: DataFrame, by: list[str], y: str, x: list[str], keep: list[str], constant: bool = True) -> DataFrame:

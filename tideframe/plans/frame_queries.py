@@ -16,6 +16,7 @@ from tideframe.operators import joins, linalg
 from tideframe.operators.frame import TideFrame
 from tideframe.plans.catalog import register
 from tideframe.plans.expr import asexpr, asexprs, col, datetime, lit, timedelta
+from tideframe.plans.expr import register as expr_method
 from tideframe.plans.queries import E_SQL, LI, events, lineitem, nudge, rounded, table, v, y
 from tideframe.sources import io
 
@@ -204,6 +205,27 @@ register("ols_figures", f"""WITH g AS (SELECT event_type, count(*) AS n, regr_sl
 register("ols_residuals", f"WITH f AS (SELECT event_type, regr_slope(v, y) AS b1, regr_intercept(v, y) AS b0 FROM {E_SQL} WHERE v IS NOT NULL AND y IS NOT NULL GROUP BY 1) SELECT event_id, round(b0 + b1 * y, 6) + 0.0 AS fitted, round(v - b0 - b1 * y, 6) + 0.0 AS resid FROM {E_SQL} JOIN f USING (event_type)")(
     lambda spark, sf_dir: linalg.residuals_by(events(spark, sf_dir).df, ["event_type"], "v", ["y"], ["event_id"]).select("event_id", rounded("fitted"), rounded("resid"))
 )
+register("newey_west", f"""WITH r AS (SELECT user_id, y, v - 40 AS e, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM {E_SQL} WHERE v IS NOT NULL AND y IS NOT NULL)
+  SELECT a.user_id, round(sum(w * a.e * b.e), 2) + 0.0 AS m00, round(sum(w * (a.e * b.e * b.y + a.e * a.y * b.e) / 2), 1) + 0.0 AS m01, round(sum(w * a.e * a.y * b.e * b.y), 0) + 0.0 AS m11
+  FROM (SELECT a, b, CASE WHEN a.rn = b.rn THEN 1 ELSE 2 * (1 - (a.rn - b.rn) / 4) END AS w FROM r a JOIN r b ON a.user_id = b.user_id AND a.rn - b.rn BETWEEN 0 AND 3) GROUP BY 1""")(lambda spark, sf_dir: _newey_west(spark, sf_dir))
+
+
+def _newey_west(spark, sf_dir) -> DataFrame:
+    df = events(spark, sf_dir).with_columns(one=lit(1.0), e=v - 40).df
+    m = linalg.newey_west_by(df, ["user_id"], ["one", "y"], "e", 3, ["ts", "event_id"])
+    cell = lambda i, j, d: (F.round(F.get(F.get("meat", F.lit(i)), F.lit(j)), d) + 0.0).alias(f"m{i}{j}")
+    return m.select("user_id", cell(0, 0, 2), cell(0, 1, 1), cell(1, 1, 0))
+
+
+@expr_method
+def spread_of(e, window: int):
+    """Registered as a method of expressions: the range of a window."""
+    return e.ts_max(window) - e.ts_min(window)
+
+
+register("registered_method", f"SELECT event_id, round(max(v) OVER w - min(v) OVER w, 6) + 0.0 AS r FROM {E_SQL} WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS 6 PRECEDING)")(
+    lambda spark, sf_dir: events(spark, sf_dir).with_columns(r=v.spread_of(7)).df.select("event_id", rounded("r"))
+)
 register("mark_star", "SELECT event_id, CASE WHEN p < 0 OR p > 1 THEN 'Invalid' ELSE printf('%.2f', x) || CASE WHEN p <= 0.01 THEN '***' WHEN p <= 0.05 THEN '**' WHEN p <= 0.1 THEN '*' ELSE '' END END || chr(13) || chr(10) || '(' || printf('%.2f', t) || ')' AS s FROM (SELECT event_id, (event_id % 1000) / 7 AS x, (event_id % 77) / 4 - 9 AS t, (event_id % 130 - 10) / 100 AS p FROM events)")(
     lambda spark, sf_dir: table(spark, sf_dir, "events").select("event_id", linalg.mark_star(F.col("event_id") % 1000 / 7, (F.col("event_id") % 130 - 10) / 100, 2, F.col("event_id") % 77 / 4 - 9).alias("s"))
 )

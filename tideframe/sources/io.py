@@ -106,9 +106,12 @@ def scan_parquet(spark: SparkSession, path: str, columns=None, **frame) -> TideF
 
 
 def frame(spark: SparkSession, data, columns: list[str] | None = None, order: str = "i", **named) -> TideFrame:
-    """A small frame of a dict, a list of columns, or a pandas or Arrow table; order names an added column of row places."""
+    """A small frame of a dict, a list of columns, or a pandas, polars or Arrow table; order names an added column of row
+    places."""
     import pandas as pd
 
+    if hasattr(data, "to_arrow"):
+        data = data.to_arrow()
     if isinstance(data, pa.Table):
         data = data.to_pandas()
     if isinstance(data, (list, tuple)):
