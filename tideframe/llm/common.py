@@ -23,7 +23,7 @@ class Seen:
     """Tells words that came before from new ones, for caches that hold only what recurs: one byte for each hash, and all
     forgotten when half of them are taken. A false answer costs a place in a cache, no more."""
 
-    SLOTS = 1 << 20
+    SLOTS = 1 << 22
 
     def __init__(self):
         self.slots, self.taken = bytearray(self.SLOTS), 0
