@@ -90,3 +90,10 @@ def test_whole_table_against_one_conversation_at_a_time(spark):
 
 def test_empty_table(spark):
     assert chat.repair(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+
+
+def test_very_long_texts_pass_whole(spark):
+    long = "word " * 400_000
+    turns = spark.createDataFrame([(1, 0, "user", long), (1, 1, "assistant", long + "end"), (2, 0, "assistant", None)], "conv_id long, turn long, role string, text string")
+    rows = {(r.conv_id, r.turn): r for r in chat.repair(turns).collect() if r.action != "insert"}
+    assert rows[1, 0].text == long and rows[1, 1].text == long + "end" and len(rows) == 3

@@ -15,12 +15,14 @@ import base64
 import struct
 from functools import lru_cache
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideframe.llm import common
+from tideframe.llm.shingles import slices
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 #: Entries that a worker's cache of pre-tokens holds before it starts anew, and the longest pre-token it keeps.
@@ -118,11 +120,6 @@ def _id_lists(packed: list[bytes]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.Array.from_buffers(pa.int32(), ends[-1], [None, pa.py_buffer(b"".join(packed))]))
 
 
-def _slices(batch: pa.RecordBatch, rows: int = 1000):
-    for start in range(0, batch.num_rows, rows):
-        yield batch.slice(start, rows)
-
-
 def encode(docs: DataFrame, path: str = RANKS, pattern: str = public_tokenizers.PATTERN, key: str = "doc_id", text: str = "text", decoded: bool = False) -> DataFrame:
     """(key, ids array<int>) of every row; with decoded, also the bytes that the ids decode to. A map over the input, without a shuffle."""
     common.with_workers(docs.sparkSession)
@@ -130,13 +127,12 @@ def encode(docs: DataFrame, path: str = RANKS, pattern: str = public_tokenizers.
 
     def run(batches):
         own = codec(path, pattern)
-        for batch in batches:
-            for part in _slices(batch):
-                packed = [own.encode(t or "") for t in part.column(1).to_pylist()]
-                out = [part.column(0), ids := _id_lists(packed)]
-                if decoded:
-                    out.append(pa.array([own.decode(x) for x in ids.to_pylist()], pa.binary()))
-                yield pa.RecordBatch.from_arrays(out, names=["key", "ids", "decoded"][: len(out)])
+        for part in slices(batches, 1000, 1):
+            packed = [own.encode(t or "") for t in part.column(1).to_pylist()]
+            out = [part.column(0), _id_lists(packed)]
+            if decoded:
+                out.append(pa.array([own.decode(np.frombuffer(p, "<i4").tolist()) for p in packed], pa.binary()))
+            yield pa.RecordBatch.from_arrays(out, names=["key", "ids", "decoded"][: len(out)])
 
     rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
     return rows.mapInArrow(run, f"key {kind}, ids array<int>" + ", decoded binary" * decoded).withColumnRenamed("key", key)
@@ -149,9 +145,8 @@ def decode(encoded: DataFrame, path: str = RANKS, key: str = "doc_id", ids: str
 
     def run(batches):
         own = codec(path, public_tokenizers.PATTERN)
-        for batch in batches:
-            for part in _slices(batch):
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([own.decode(x or []) for x in part.column(1).to_pylist()], pa.binary())], names=["key", "decoded"])
+        for part in slices(batches, 100):
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([own.decode(x.as_py() or []) for x in part.column(1)], pa.binary())], names=["key", "decoded"])
 
     return encoded.select(F.col(key).alias("key"), F.col(ids).alias("ids")).mapInArrow(run, f"key {kind}, decoded binary").withColumnRenamed("key", key)
 

@@ -271,9 +271,10 @@ def near_duplicates(table: DataFrame, cosine: float = COSINE, key: str = "vec_id
     cut = common.settle(blocks(classes, principal(classes, n, DIMENSIONS), epsilon, block, run), "blocks")
     kinds = {c: rows.schema[c].dataType.simpleString() for c in ("label", "key")}
     linked = common.settle(tile_links(cut, epsilon, cosine, kinds), "linked")
-    several = full.groupBy("key").agg(F.min(F.struct("label", "sig")).alias("x"), F.max(F.struct("label", "sig")).alias("y")).where("x != y").select("key")
-    several = full.join(several, "key", "left_semi").select("key", "label", "sig").join(classes, ["label", "sig"]).select(F.col("key").alias("a"), F.col("rep").alias("b"))
+    repeated = common.held(full.groupBy("key").agg(F.min(F.struct("label", "sig")).alias("x"), F.max(F.struct("label", "sig")).alias("y")).where("x != y").select("key"))
+    several = full.join(common.small_or_not(repeated), "key", "left_semi").select("key", "label", "sig").join(classes, ["label", "sig"]).select(F.col("key").alias("a"), F.col("rep").alias("b"))
     found = components(linked.select(F.col("rep").alias("a"), F.col("root").alias("b")).union(several))
+    repeated.unpersist()
     counts = linked.groupBy("label", "sig").agg(F.sum("more").alias("more"))
     facts = classes.select("label", "sig", "rep", "n").join(counts, ["label", "sig"], "left").join(found.withColumnRenamed("node", "rep"), "rep", "left")
     facts = facts.select("label", "sig", (F.col("n") - 1 + F.coalesce("more", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component"))

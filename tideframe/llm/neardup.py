@@ -175,14 +175,19 @@ def _prefix_pairs(docs: DataFrame, members: DataFrame, percent: int) -> DataFram
     prefix = common.settle(prefix.join(members.select("rep", "component"), "rep"), "prefixes")
     counts = prefix.groupBy("token", "component").agg(F.count("*").alias("c"))
     main = counts.groupBy("token").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.count("*").alias("components")).where("components > 1").select("token", "main")
-    open_ = prefix.join(main, "token")
+    # kept, so that the pairs of a hot shingle can be split too
+    main = common.held(main)
+    open_ = common.held(prefix.join(main, "token"))
     one = open_.where("component != main").select("token", F.col("rep").alias("x"), F.col("component").alias("cx"), F.col("n").alias("nx"), F.col("rank").alias("rx"))
     other = open_.select("token", "main", F.col("rep").alias("y"), F.col("component").alias("cy"), F.col("n").alias("ny"), F.col("rank").alias("ry"))
     # a link of sizes nx and ny has this overlap at least, so its first common token leaves room for it on both sides
     overlap = F.ceil((F.col("nx") + F.col("ny")) * percent / (100 + percent))
     fits = (F.col("cx") != F.col("cy")) & (F.col("rx") <= F.col("nx") - overlap + 1) & (F.col("ry") <= F.col("ny") - overlap + 1)
     once = (F.col("cy") == F.col("main")) | (F.col("x") < F.col("y"))  # a pair of two minor members meets twice
-    return one.join(other, "token").where(fits & once).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    pairs = common.settle(one.join(other, "token").where(fits & once).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "prefix-pairs")
+    main.unpersist()
+    open_.unpersist()
+    return pairs
 
 
 def links_to_components(docs: DataFrame, sketched: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -191,8 +196,8 @@ def links_to_components(docs: DataFrame, sketched: DataFrame, percent: int = PER
     classes = full.groupBy("sig").agg(F.min("key").alias("rep"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
     classes = common.settle(classes, "classes")
     # a key with several texts joins their classes
-    several = full.groupBy("key").agg(F.min("sig").alias("x"), F.max("sig").alias("y")).where("x != y").select("key")
-    several = full.join(several, "key", "left_semi").select("key", "sig").join(classes, "sig").select(F.col("key").alias("a"), F.col("rep").alias("b"))
+    repeated = common.held(full.groupBy("key").agg(F.min("sig").alias("x"), F.max("sig").alias("y")).where("x != y").select("key"))
+    several = full.join(common.small_or_not(repeated), "key", "left_semi").select("key", "sig").join(classes, "sig").select(F.col("key").alias("a"), F.col("rep").alias("b"))
     step = 2 * ROWS
     cells = F.explode(F.array(*[F.xxhash64(F.lit(i), F.substring("sketch", 1 + i * step, step)) for i in range(BANDS)]))
     rows = classes.select(cells.alias("cell"), "rep", "n")
@@ -201,6 +206,7 @@ def links_to_components(docs: DataFrame, sketched: DataFrame, percent: int = PER
     pairs = members.where("rep != hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
     pairs = common.settle(_estimated(pairs, classes, percent), "pairs")
     links = common.settle(several.union(_verified(pairs, docs, percent)), "links")
+    repeated.unpersist()
     found = components(links)
     # buckets that still hold several components, completed exactly
     own = members.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
