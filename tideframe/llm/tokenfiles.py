@@ -46,7 +46,7 @@ SEGMENT = 1 << 22
 BLOCK = 512
 MAGIC = b"DACIDS01"
 #: Words that a generation of a worker's cache holds, and the longest word it keeps.
-CACHE_ENTRIES, CACHE_BYTES = 1 << 18, 64
+CACHE_ENTRIES, CACHE_BYTES = 450_000, 64
 
 
 def encode_levels(ids: np.ndarray, widths: tuple[int, ...] = WIDTHS) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -216,13 +216,13 @@ _PLAIN = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+").fullmatch
 class WordEncoder:
     """Ids of the tokenizers library's file, word by word: it drops white space and no token spans it, so the ids of a
     text are those of its pieces between ASCII spaces. Pieces recur, so their ids are kept in a cache of two generations,
-    each bounded, which hold words that came before. New plain words are encoded many at a time by the same model without its normaliser and pattern, which
+    each bounded. New plain words are encoded many at a time by the same model without its normaliser and pattern, which
     leave them as they are; the token that ends a word has the model's suffix. Other new pieces are encoded one by one."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        self.tokenizer, self.young, self.old, self.seen = Tokenizer.from_file(path), {}, {}, common.Seen()
+        self.tokenizer, self.young, self.old = Tokenizer.from_file(path), {}, {}
         self.suffix, self.bare = getattr(self.tokenizer.model, "end_of_word_suffix", None), None
         if self.suffix:
             self.bare = Tokenizer.from_file(path)
@@ -263,7 +263,7 @@ class WordEncoder:
         fresh = again | learnt | {b"": b""}
         known = [fresh[w] if ids is None else ids for w, ids in zip(distinct, known, strict=True)]
         self.young |= again
-        self.young |= {w: ids for w, ids in learnt.items() if len(w) <= CACHE_BYTES and self.seen.before(w)}
+        self.young |= {w: ids for w, ids in learnt.items() if len(w) <= CACHE_BYTES}
         if len(self.young) >= CACHE_ENTRIES:
             self.young, self.old = {}, self.young
         # the ids of all pieces in a row, then those of each place by its piece
