@@ -187,3 +187,13 @@ def test_correlation_of_ranks_weighs_repeated_pairs(spark):
     got = {(r.x, r.y): r["corr"] for r in f.corr("a", "b", method="spearman").collect()}
     assert got["a", "b"] == pytest.approx(pdf.dropna().astype(float).rank().corr().loc["a", "b"])
     assert f.df.groupBy().agg(F.count("*")).first()[0] == 7
+
+
+def test_quantiles_of_one_column_are_taken_together(spark):
+    v = col("v")
+    out = queries.events(spark, SF).groupby("event_type").agg(a=v.quantile(0.3), b=v.median(), c=v.quantile(0.9, "lower"))
+    assert plan(out).count("partial_percentile(") == 1 and "collect_list" not in plan(out)
+    got = {r.event_type: (r.a, r.b, r.c) for r in out.collect()}
+    pdf = queries.events(spark, SF).df.select("event_type", "v").dropna().toPandas()
+    for k, g in pdf.groupby("event_type"):
+        np.testing.assert_allclose(got[k], [g.v.quantile(0.3), g.v.median(), g.v.quantile(0.9, "lower")])
