@@ -65,6 +65,21 @@ def test_picked_rows(spark):
         f.with_columns(r=col("x").rolling("1mo2d", time="x").sum())
 
 
+def test_rows_from_a_start_are_aggregated_as_they_come(spark):
+    """Pairs of a row and what it picks are neither dealt nor sorted, and missing keys, starts and values count as they do."""
+    f = io.frame(spark, {"g": [None, "a", None, "a", None, "a"], "x": [4.0, 1, math.nan, 3, 1, math.nan], "start": [0.0, 0, 0, 1, 1, 5]})
+    x = col("x")
+    out = TideFrame(f.df, "i", "g").rolling(idx="start").agg(s=x.sum(), n=x.count_valid(), first=x.first(), last=x.last(), q=x.quantile(0.25), both=x.max() - x.median()).df
+    text = plan(out)
+    above = text[: text.index("ShuffledHashJoin")]
+    assert "Generate" not in text and not any(word in above for word in ("Exchange", "Sort [", "ObjectHash"))
+    got = {r.i: (r.s, r.n, r.first, r.last, r.q, r.both) for r in out.collect()}
+    assert got == {
+        0: (4, 1, 4, 4, 4, 0), 2: (4, 1, 4, None, 4, 0), 4: (1, 1, None, 1, 1, 0),
+        1: (1, 1, 1, 1, 1, 0), 3: (3, 1, 3, 3, 3, 0), 5: (0, 0, None, None, None, None),
+    }
+
+
 def test_argmin_in_groups_and_of_nothing(spark):
     f = io.frame(spark, {"g": list("aabba"), "x": [3.0, 1, math.nan, math.nan, 1]})
     got = {r.g: (r.a, r.b) for r in f.groupby("g").agg(a=col("x").argmin(), b=col("x").argmax()).collect()}

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tideframe.functions.aggregates import linear_quantile
 from tideframe.functions.durations import duration
 from tideframe.functions.registry import Scope
 from tideframe.operators.ranges import numbered
 from tideframe.plans.expr import Expr, asexpr, col
-from tideframe.plans.prepare import prepared
+from tideframe.plans.prepare import linear_level, nodes, prepared, swapped
 
 
 def _same(left: DataFrame, right: DataFrame, pairs) -> Column:
@@ -100,7 +101,7 @@ class Picked:
 
     With offset, the rows of its partition whose times lie k offsets before it, k = 0 to window over offset; of rows of
     one time the first counts. With idx, the rows at places of the partition: a column of starts takes all from there to
-    the row itself, a column of arrays those at its places (no place, missing and out-of-range ones pick nothing).
+    the row itself (see _since), a column of arrays those at its places (no place, missing and out-of-range ones pick nothing).
     """
 
     def __init__(self, frame, window=None, time: str | None = None, offset=None, idx: str | None = None):
@@ -117,17 +118,56 @@ class Picked:
         picked = self.frame.unique([*self.frame.part, self.time], "first").df
         return left.withColumn("__at", F.col(self.time) - by.interval * F.col("__k")).drop("__k"), picked.withColumn("__t", F.col(self.time))
 
+    def _starts(self) -> bool:
+        return self.idx is not None and self.frame.df.schema[self.idx].dataType.typeName() != "array"
+
     def _placed(self):
         placed = self.frame.df.withColumn("__t", F.row_number().over(self.frame.scope.ordered) - 1)
-        starts = self.frame.df.schema[self.idx].dataType.typeName() != "array"
         here = F.greatest(F.col(self.idx), F.lit(0)).cast("long")
-        picks = F.when(here <= F.col("__t"), F.sequence(here, F.col("__t").cast("long"))) if starts else F.col(self.idx).cast("array<long>")
+        picks = F.when(here <= F.col("__t"), F.sequence(here, F.col("__t").cast("long"))) if self._starts() else F.col(self.idx).cast("array<long>")
         return placed.withColumn("__at", F.explode_outer(picks)).drop("__t"), placed
 
+    def _since(self, wanted: dict[str, Expr]):
+        """agg from starts, inside partitions: only the frame's rows are dealt, each partition to one task, where the pairs
+        of a row and what it picks come in the order of rows and are aggregated as they come, so none is kept.
+
+        Linear quantiles would keep the pairs; they are read from the sorted slice of the partition's values.
+        """
+        frame = self.frame
+        part = F.struct(*[F.col(p) for p in frame.part])  # one key, equal where values are missing too
+        rows = frame.df.withColumn("__part", part)
+        window = Window.partitionBy("__part").orderBy(*frame.order)
+        rows = rows.withColumn("__t", (F.row_number().over(window) - 1).cast("long"))
+        own = {c: f"__l{i}" for i, c in enumerate(frame.columns)}
+        left = rows.withColumn("__from", F.greatest(F.col(self.idx), F.lit(0)).cast("long"))
+        taken, slices = {}, {}
+        for node in (n for e in wanted.values() for n in nodes(e)):
+            if linear_level(node) is not None and repr(node) not in taken:
+                values = slices.setdefault(repr(node.args[0]), (f"__s{len(slices)}", node.args[0]))[0]
+                taken[repr(node)] = (f"__q{len(taken)}", values, linear_level(node))
+        whole = window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        for name, x in slices.values():
+            missing = F.lit(float("nan"))  # sorts last
+            left = left.withColumn(name, F.collect_list(F.coalesce(x.lower(frame.scope).cast("double"), missing)).over(whole))
+            left = left.withColumn(name, F.sort_array(F.slice(name, (F.col("__from") + 1).cast("int"), F.greatest(F.col("__t") - F.col("__from") + 1, F.lit(0)).cast("int"))))
+            left = left.withColumn(f"{name}_n", F.coalesce(F.nullif(F.array_position(name, missing), F.lit(0)) - 1, F.size(name)))
+        left = left.withColumns({name: linear_quantile(lambda i, s=s: F.get(s, i), F.col(f"{s}_n"), q) for name, s, q in taken.values()})
+        keys = ["__lpart", *[own[o] for o in frame.order]]
+        left = left.select(F.col("__part").alias("__lpart"), *[F.col(c).alias(n) for c, n in own.items()], "__from", F.col("__t").alias("__to"), *[name for name, _, _ in taken.values()])
+        right = rows.withColumn("__o", F.struct(*frame.order)).hint("shuffle_hash")
+        cond = (left["__lpart"] == right["__part"]) & (right["__t"] >= left["__from"]) & (right["__t"] <= left["__to"])
+        wanted = {n: swapped(e, {text: Expr("column", (F.first(name),)) for text, (name, _, _) in taken.items()}) for n, e in wanted.items()}
+        scope = prepared(left.join(right, cond, "left"), Scope(tuple(F.col(k) for k in keys), (F.col("__o"),), "group"), list(wanted.values()))
+        # a struct in the aggregation makes it go by the order that the rows have
+        out = scope.df.groupBy(*keys).agg(F.first(F.struct(*own.values())).alias("__own"), *[e.lower(scope).alias(n) for n, e in wanted.items()])
+        return frame._with(out.select(*[F.col(f"__own.{n}").alias(c) for c, n in own.items() if c not in wanted], *wanted))
+
     def agg(self, **named):
         """The frame with a column for each aggregate of what its rows pick."""
         frame = self.frame
         frame.scope.need_order()
+        if frame.part and self._starts():
+            return self._since({n: asexpr(e) for n, e in named.items()})
         left, right = self._lagged() if self.idx is None else self._placed()
         own = {c: f"__l{i}" for i, c in enumerate(frame.columns)}
         left = left.select(*[F.col(c).alias(n) for c, n in own.items()], "__at")

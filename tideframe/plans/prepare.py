@@ -100,6 +100,24 @@ def nodes(e):
                 yield from nodes(a)
 
 
+def linear_level(e) -> float | None:
+    """The level of a linear quantile; None for other expressions."""
+    if e.kind not in ("quantile", "median") or _method(e.args, e.kw) != "linear":
+        return None
+    return 0.5 if e.kind == "median" else float(e.kw.get("q", e.args[1] if len(e.args) > 1 else 0.5))
+
+
+def swapped(e, by: dict):
+    """e with the expressions by[text] for what has that text."""
+    from tideframe.plans.expr import Expr
+
+    if not isinstance(e, Expr) or e.kind in ("col", "lit", "column", "values", "rolled"):
+        return e
+    if repr(e) in by:
+        return by[repr(e)]
+    return Expr(e.kind, tuple(swapped(a, by) for a in e.args), {k: swapped(a, by) for k, a in e.kw.items()}, e._name)
+
+
 def prepared(df: DataFrame, s: Scope, exprs: list) -> Scope:
     """The scope in which exprs can be lowered over its df, which has what they need beside the columns of df."""
     s = replace(s, df=df, base=df, helpers={})
@@ -107,8 +125,8 @@ def prepared(df: DataFrame, s: Scope, exprs: list) -> Scope:
     levels: dict[str, set] = {}
     for e in exprs:
         for node in nodes(e):
-            if node.kind in ("quantile", "median") and _method(node.args, node.kw) == "linear":
-                levels.setdefault(repr(node.args[0]), set()).add(0.5 if node.kind == "median" else float(node.kw.get("q", node.args[1] if len(node.args) > 1 else 0.5)))
+            if (level := linear_level(node)) is not None:
+                levels.setdefault(repr(node.args[0]), set()).add(level)
             text = repr(node)
             if node.kind in PREPARED and text not in s.helpers and PREPARED[node.kind][0](s, node.args, node.kw):
                 name = f"__{node.kind}_{crc32(text.encode()):08x}"
