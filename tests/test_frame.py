@@ -65,6 +65,16 @@ def test_picked_rows(spark):
         f.with_columns(r=col("x").rolling("1mo2d", time="x").sum())
 
 
+def test_tasks_of_time_frames_grow_with_the_tables(spark, monkeypatch):
+    f = queries.events(spark, SF)
+    rolled = lambda: f.with_columns(r=col("v").rolling("1mo", time="ts").mean()).df
+    few, want = plan(rolled()), sorted(rolled().select("event_id", "r").collect())
+    monkeypatch.setattr("tideframe.operators.ranges.TASK_BYTES", 1 << 13)
+    many, tasks = plan(rolled()), (220511 >> 13)
+    assert "REPARTITION" not in few and "hashpartitioning(user_id" in many and f", {tasks}), REPARTITION_BY_NUM" in many and many.count("Exchange") == 1
+    assert sorted(rolled().select("event_id", "r").collect()) == want
+
+
 def test_rows_from_a_start_are_aggregated_as_they_come(spark):
     """Pairs of a row and what it picks are neither dealt nor sorted, and missing keys, starts and values count as they do."""
     f = io.frame(spark, {"g": [None, "a", None, "a", None, "a"], "x": [4.0, 1, math.nan, 3, 1, math.nan], "start": [0.0, 0, 0, 1, 1, 5]})

@@ -14,9 +14,9 @@ from pyspark.sql import types as T
 
 from tideframe.functions.aggregates import paired, safe_corr
 from tideframe.functions.registry import Scope
-from tideframe.operators.ranges import distributed_rank, numbered, ranked_counts  # noqa: F401
+from tideframe.operators.ranges import distributed_rank, numbered, ranked_counts, spread  # noqa: F401
 from tideframe.plans.expr import Expr, asexpr, col, horizontal
-from tideframe.plans.prepare import prepared
+from tideframe.plans.prepare import nodes, prepared, ranged
 
 _RN = "__place"
 #: Comparisons with a constant that a scan can take, and the same with its sides changed.
@@ -124,7 +124,8 @@ class TideFrame:
                 raise ValueError("columns of different rows: filter the frame instead")
             (mask,) = masks.values()
             return self.filter(mask).select(**{n: e.args[0] for n, e in wanted.items()})
-        s = prepared(self.df, self.scope, list(wanted.values()))
+        df = spread(self.df, self.part) if any(ranged(n) for e in wanted.values() for n in nodes(e)) else self.df
+        s = prepared(df, self.scope, list(wanted.values()))
         return self._with(s.df.select(*[e.lower(s).alias(n) for n, e in wanted.items()]))
 
     def _grouped(self, wanted: dict[str, Expr]) -> TideFrame:
@@ -137,7 +138,8 @@ class TideFrame:
 
     def with_columns(self, *exprs, **named) -> TideFrame:
         wanted = self._exprs(exprs, named)
-        s = prepared(self.df, self.scope, list(wanted.values()))
+        df = spread(self.df, self.part) if any(ranged(n) for e in wanted.values() for n in nodes(e)) else self.df
+        s = prepared(df, self.scope, list(wanted.values()))
         out = s.df.withColumns({n: e.lower(s) for n, e in wanted.items()})
         return self._with(out.drop(*[c for c in s.df.columns if c not in self.columns]) if s.helpers else out)
 

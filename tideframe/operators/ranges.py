@@ -12,6 +12,8 @@ from pyspark.sql import types as T
 
 #: Ranges that rows are dealt into at most.
 RANGES = 64
+#: Bytes of the tables that a frame reads, as they are stored, for one task of several sorted windows.
+TASK_BYTES = 1 << 20
 
 
 def _axis(df: DataFrame, c: Column) -> Column | None:
@@ -76,6 +78,15 @@ def ranked_counts(counts: DataFrame, by: str, name: str, rev: bool = False) -> D
     return out.withColumn(name, rank).drop("__p", "__q", "__b", "__u")
 
 
+def spread(df: DataFrame, part: tuple) -> DataFrame:
+    """df dealt by part into more tasks the larger the tables are that it reads, so that a task's memory does not grow with
+    them; as it is where that is no more than the session's tasks. Adaptive execution leaves this number as it is."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    tasks = sum(n for n in sizes if n < 1 << 50) // TASK_BYTES  # a size that is not known counts as endless
+    return df.repartition(tasks, *part) if part and tasks > df.sparkSession.sparkContext.defaultParallelism else df
+
+
 def numbered(df: DataFrame, order: list[Column], name: str, base: DataFrame | None = None) -> DataFrame:
     """df with each row's place from 0 in the order; dealt into ranges by the first column. base as in distributed_rank."""
     first, base = order[0], df if base is None else base

@@ -100,6 +100,11 @@ def nodes(e):
                 yield from nodes(a)
 
 
+def ranged(e) -> bool:
+    """Whether e is rolled by time, which takes a sorted window for each kind of frame."""
+    return e.kind == "rolled" and e.args[0].rolling.time is not None
+
+
 def linear_level(e) -> float | None:
     """The level of a linear quantile; None for other expressions."""
     if e.kind not in ("quantile", "median") or _method(e.args, e.kw) != "linear":
