@@ -75,6 +75,20 @@ def test_tasks_of_time_frames_grow_with_the_tables(spark, monkeypatch):
     assert sorted(rolled().select("event_id", "r").collect()) == want
 
 
+def test_quantiles_of_large_groups_are_found_in_ranges(spark, monkeypatch):
+    """No task takes all values of a group; keys and values may be missing and repeat."""
+    x = [float(k * k % 97) if k % 5 else math.nan for k in range(400)]
+    f = io.frame(spark, {"g": [None if k % 3 == 0 else "b" if k % 3 == 1 else "none" for k in range(400)], "x": [v if k % 3 < 2 else math.nan for k, v in enumerate(x)]})
+    v = col("x")
+    run = lambda: f.groupby("g").agg(q=v.quantile(0.3), m=v.median(), d=v.max() - v.quantile(0.9), n=v.count_valid())
+    whole = lambda: f.aggregate("median", "x")
+    assert "percentile(" in plan(run()) and "percentile(" in plan(whole())
+    want, middle = {r.g: r for r in run().collect()}, whole().first()
+    monkeypatch.setattr("tideframe.operators.ranges.GROUP_ROWS", 50)
+    assert "percentile(" not in plan(run()) and "percentile(" not in plan(whole())
+    assert {r.g: r for r in run().collect()} == want and len(want) == 3 and whole().first() == middle
+
+
 def test_rows_from_a_start_are_aggregated_as_they_come(spark):
     """Pairs of a row and what it picks are neither dealt nor sorted, and missing keys, starts and values count as they do."""
     f = io.frame(spark, {"g": [None, "a", None, "a", None, "a"], "x": [4.0, 1, math.nan, 3, 1, math.nan], "start": [0.0, 0, 0, 1, 1, 5]})

@@ -77,10 +77,9 @@ def placed_quantile(s: Scope, x: Column, place: Column, n: Column, q: float, met
     return _between(pick(F.floor), pick(F.ceil), method)
 
 
-def linear_quantile(at, n: Column, q: float) -> Column:
-    """The quantile between neighbours, as F.percentile takes it, of n values of which at(i) is the one at place i in order."""
+def linear_quantile(low: Column, high: Column, n: Column, q: float) -> Column:
+    """The quantile of n values, as F.percentile takes it, from those at the places around (n - 1) * q in order."""
     place = (n - 1) * F.lit(float(q))
-    low, high = at(F.floor(place).cast("int")), at(F.ceil(place).cast("int"))
     between = (F.ceil(place) - place) * low + (place - F.floor(place)) * high
     return F.when(n > 0, F.when(low == high, low).otherwise(between))
 

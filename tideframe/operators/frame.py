@@ -16,7 +16,7 @@ from tideframe.functions.aggregates import paired, safe_corr
 from tideframe.functions.registry import Scope
 from tideframe.operators.ranges import distributed_rank, numbered, ranked_counts, spread  # noqa: F401
 from tideframe.plans.expr import Expr, asexpr, col, horizontal
-from tideframe.plans.prepare import nodes, prepared, ranged
+from tideframe.plans.prepare import nodes, prepared, ranged, with_quantiles
 
 _RN = "__place"
 #: Comparisons with a constant that a scan can take, and the same with its sides changed.
@@ -326,7 +326,8 @@ class TideFrame:
         """One row with an aggregate of each column."""
         names = list(columns or self.columns)
         exprs = {c: getattr(col(c), kind)() for c in names}
-        s = prepared(self.df, Scope((), self.order), list(exprs.values()))
+        df, exprs = with_quantiles(self.df, [], exprs)
+        s = prepared(df, Scope((), self.order), list(exprs.values()))
         s = Scope((), self.order, "group", specs=s.specs, df=s.df, helpers=s.helpers)
         return s.df.agg(*[e.lower(s).alias(c) for c, e in exprs.items()])
 

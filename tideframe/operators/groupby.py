@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tideframe.functions.durations import bucket_start, duration
 from tideframe.functions.registry import Scope
 from tideframe.plans.expr import Expr, asexpr, col
-from tideframe.plans.prepare import prepared
+from tideframe.plans.prepare import prepared, with_quantiles
 
 #: Aggregates that a string names.
 SHORT = {"sum", "mean", "var", "std", "min", "max", "umin", "umax", "first", "last", "valid_first", "valid_last", "median", "prod", "skew", "kurt", "count_valid", "count_none", "any", "all", "len", "argmin", "argmax"}
@@ -42,7 +42,8 @@ class Grouped:
                     raise ValueError(f"no such aggregate: {how}")
                 how = getattr(col(name), how)()
             wanted[name] = asexpr(how)
-        scope = prepared(self.df, Scope(tuple(F.col(k) for k, _ in self.keys), self.frame.order, "group"), list(wanted.values()))
+        df, wanted = with_quantiles(self.df, [k for k, _ in self.keys], wanted)
+        scope = prepared(df, Scope(tuple(F.col(k) for k, _ in self.keys), self.frame.order, "group"), list(wanted.values()))
         cols = [e.lower(scope).alias(n) for n, e in wanted.items()]
         if self.sort:
             cols.append(F.min(scope.key).alias("__first"))

@@ -151,7 +151,8 @@ class Picked:
             left = left.withColumn(name, F.collect_list(F.coalesce(x.lower(frame.scope).cast("double"), missing)).over(whole))
             left = left.withColumn(name, F.sort_array(F.slice(name, (F.col("__from") + 1).cast("int"), F.greatest(F.col("__t") - F.col("__from") + 1, F.lit(0)).cast("int"))))
             left = left.withColumn(f"{name}_n", F.coalesce(F.nullif(F.array_position(name, missing), F.lit(0)) - 1, F.size(name)))
-        left = left.withColumns({name: linear_quantile(lambda i, s=s: F.get(s, i), F.col(f"{s}_n"), q) for name, s, q in taken.values()})
+        near = lambda s, q, to: F.get(s, to((F.col(f"{s}_n") - 1) * F.lit(q)).cast("int"))
+        left = left.withColumns({name: linear_quantile(near(s, q, F.floor), near(s, q, F.ceil), F.col(f"{s}_n"), q) for name, s, q in taken.values()})
         keys = ["__lpart", *[own[o] for o in frame.order]]
         left = left.select(F.col("__part").alias("__lpart"), *[F.col(c).alias(n) for c, n in own.items()], "__from", F.col("__t").alias("__to"), *[name for name, _, _ in taken.values()])
         right = rows.withColumn("__o", F.struct(*frame.order)).hint("shuffle_hash")

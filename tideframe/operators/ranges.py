@@ -10,10 +10,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tideframe.functions.aggregates import linear_quantile
+
 #: Ranges that rows are dealt into at most.
 RANGES = 64
 #: Bytes of the tables that a frame reads, as they are stored, for one task of several sorted windows.
 TASK_BYTES = 1 << 20
+#: Rows of a group whose values one task takes for exact quantiles.
+GROUP_ROWS = 1_000_000
 
 
 def _axis(df: DataFrame, c: Column) -> Column | None:
@@ -78,6 +82,30 @@ def ranked_counts(counts: DataFrame, by: str, name: str, rev: bool = False) -> D
     return out.withColumn(name, rank).drop("__p", "__q", "__b", "__u")
 
 
+def located_quantiles(df: DataFrame, keys: list[str], x: Column, levels: list[float]) -> DataFrame | None:
+    """(__k0, ..., __q0, ...): linear quantiles of x in each group, from the counts of its distinct values in ranges, so that
+    no task reads a group; None where the largest group is small enough for one."""
+    ks = [f"__k{i}" for i in range(len(keys))]
+    rows = df.select(*[F.col(k).alias(n) for k, n in zip(keys, ks, strict=True)], x.cast("double").alias("__x")).where("__x IS NOT NULL")
+    if (rows.groupBy(*ks).agg(F.count(F.lit(1)).alias("__c")).agg(F.max("__c")).first()[0] or 0) <= GROUP_ROWS:
+        return None
+    counts = rows.groupBy(*ks, "__x").agg(F.count(F.lit(1)).alias("__c"))
+    parted = dealt(counts, F.col("__x"), split_points(counts, F.col("__x")))
+    within = F.sum("__c").over(Window.partitionBy(*ks, "__p").orderBy("__x").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    totals = parted.groupBy(*ks, "__p").agg(F.sum("__c").alias("__t"))
+    lower = F.sum("__t").over(Window.partitionBy(*ks).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1))
+    before = totals.select(*[F.col(k).alias(f"{k}_b") for k in ks], F.col("__p").alias("__pb"), F.coalesce(lower, F.lit(0)).alias("__b"), F.sum("__t").over(Window.partitionBy(*ks)).alias("__n"))
+    same = F.col("__p") == F.col("__pb")
+    for k in ks:
+        same = same & F.col(k).eqNullSafe(F.col(f"{k}_b"))
+    placed = parted.withColumn("__u", within).join(before, same).withColumn("__end", F.col("__b") + F.col("__u"))
+    at = lambda place: F.max(F.when((place < F.col("__end")) & (place >= F.col("__end") - F.col("__c")), F.col("__x")))
+    place = [(F.col("__n") - 1) * F.lit(q) for q in levels]
+    ends = placed.groupBy(*ks).agg(F.max("__n").alias("__n"), *[at(to(p)).alias(f"__{end}{i}") for i, p in enumerate(place) for end, to in (("lo", F.floor), ("hi", F.ceil))])
+    between = [linear_quantile(F.col(f"__lo{i}"), F.col(f"__hi{i}"), F.col("__n"), q).alias(f"__q{i}") for i, q in enumerate(levels)]
+    return ends.select(*ks, *between)
+
+
 def spread(df: DataFrame, part: tuple) -> DataFrame:
     """df dealt by part into more tasks the larger the tables are that it reads, so that a task's memory does not grow with
     them; as it is where that is no more than the session's tasks. Adaptive execution leaves this number as it is."""

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tideframe.functions import aggregates, ordered
 from tideframe.functions.registry import PREPARED, Scope
-from tideframe.operators.ranges import distributed_rank, numbered
+from tideframe.operators.ranges import distributed_rank, located_quantiles, numbered
 
 
 def _alone(s: Scope) -> bool:
@@ -123,6 +123,29 @@ def swapped(e, by: dict):
     return Expr(e.kind, tuple(swapped(a, by) for a in e.args), {k: swapped(a, by) for k, a in e.kw.items()}, e._name)
 
 
+def with_quantiles(df: DataFrame, keys: list[str], wanted: dict) -> tuple[DataFrame, dict]:
+    """df with the linear quantiles of its large groups as columns, and the expressions with these in their stead."""
+    from tideframe.plans.expr import Expr
+
+    asked: dict[str, dict] = {}
+    for node in (n for e in wanted.values() for n in nodes(e)):
+        if linear_level(node) is not None:
+            asked.setdefault(repr(node.args[0]), {})[repr(node)] = node
+    by, out = {}, df
+    for j, some in enumerate(asked.values()):
+        levels = sorted({linear_level(n) for n in some.values()})
+        found = located_quantiles(df, keys, next(iter(some.values())).args[0].lower(Scope(mode="group")), levels)
+        if found is None:
+            continue
+        found = found.toDF(*[f"__j{j}{c}" for c in found.columns])
+        same = F.lit(True)
+        for i, k in enumerate(keys):
+            same = same & out[k].eqNullSafe(found[f"__j{j}__k{i}"])
+        out = out.join(found, same, "left")
+        by |= {text: Expr("column", (F.first(f"__j{j}__q{levels.index(linear_level(n))}"),)) for text, n in some.items()}
+    return out, {n: swapped(e, by).alias(e.name) for n, e in wanted.items()} if by else wanted
+
+
 def prepared(df: DataFrame, s: Scope, exprs: list) -> Scope:
     """The scope in which exprs can be lowered over its df, which has what they need beside the columns of df."""
     s = replace(s, df=df, base=df, helpers={})
